@@ -7,10 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import minhash_dedup
+from loomspark.llm import decontaminate, langid, minhash_dedup, mixing, sharding
 from loomspark.llm.common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents"), shards=40)
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return judged.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, percent=80)
+
+
+OP10_SQL = r"""
+WITH words AS (
+  SELECT kind, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark)),
+items AS (SELECT id, w, least(len(w), 5) AS k FROM words WHERE kind = 'i' AND len(w) > 0),
+pieces AS (
+  SELECT DISTINCT id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM items),
+sizes AS (SELECT id, count(*) AS n FROM pieces GROUP BY id),
+docs AS (
+  SELECT DISTINCT id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+  FROM words, (SELECT DISTINCT k FROM items) WHERE kind = 'd' AND len(w) >= k)
+SELECT docs.id AS doc_id, pieces.id AS item_id, any_value(n) AS n_item, count(*) AS n_shared, count(*) / any_value(n) AS containment
+FROM docs JOIN pieces USING (k, s) JOIN sizes ON sizes.id = pieces.id
+GROUP BY 1, 2 HAVING count(*) * 100 >= any_value(n) * 80
+"""
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -35,9 +71,14 @@ FROM documents t LEFT JOIN sizes USING (doc_id) JOIN comp ON d = t.doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op5_sharding": op5_sharding,
+    "op6_language_id": op6_language_id,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 SQL: dict[str, str] = {
     "op7_minhash_dedup": OP7_SQL,
+    "op10_decontamination": OP10_SQL,
 }
