@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontaminate, langid, minhash_dedup, mixing, sharding
+from loomspark.llm import decontaminate, langid, licenses, minhash_dedup, mixing, sharding, tiff, urlfilter, warc
 from loomspark.llm.common import table
 
 
@@ -15,6 +15,102 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+# The rules of the URL filter, as (verdict, host, path).
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.judge(pages, URL_RULES, urlfilter.page_links(pages))
+
+
+def _sql_rules() -> str:
+    return ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+
+
+OP2_SQL = rf"""
+WITH RECURSIVE raw AS (
+  SELECT page_id, url, lower(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')) AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    coalesce(regexp_extract(url, '(?s)^[^#]*?\?([^#]*)', 1), '') AS query
+  FROM pages),
+urls AS (
+  SELECT *, CASE WHEN contains(url, '://') THEN host || regexp_replace(regexp_replace(path, '(/index)?\.html?$', ''), '/+$', '') || '?' ||
+    array_to_string(list_filter(string_split(query, '&'), lambda x: NOT regexp_matches(x, '^({'|'.join(urlfilter.TRACKING)})=')), '&') END AS key
+  FROM raw),
+rules(v, h, p) AS (VALUES {_sql_rules()}),
+fits AS (
+  SELECT page_id, url, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS own
+  FROM urls JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1, 2),
+own AS (SELECT urls.*, rule, own FROM urls LEFT JOIN fits ON urls.page_id = fits.page_id AND urls.url = fits.url),
+bad AS (SELECT DISTINCT key FROM own WHERE own = 'block')
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN bad.key IS NULL THEN 'allow' ELSE 'block' END) AS verdict, own.key AS alias_of
+FROM own LEFT JOIN bad ON own.key = bad.key
+"""
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def _sql_templates() -> str:
+    return ", ".join(f"({i}, '{t.label}', {t.base}, '{t.text}')" for i, t in enumerate(licenses.TEMPLATES))
+
+
+OP3_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+templates(t, label, base, words) AS (VALUES {_sql_templates()}),
+tw AS (SELECT t, label, base, string_split(words, ' ') AS w FROM templates),
+tg AS (SELECT t, label, base, len(w) AS size, unnest(range(0, len(w) - 1)) AS tpos, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM tw),
+grams AS (SELECT doc_id, unnest(range(0, len(w) - 1)) AS pos, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1),
+diag AS (
+  SELECT doc_id, t, label, base, size, pos - tpos AS d, count(*) AS votes, min(pos) AS low, max(pos) AS high
+  FROM grams JOIN tg USING (g) GROUP BY ALL),
+whole AS (SELECT doc_id, label, base, d AS start, 1.0::DOUBLE AS coverage FROM diag WHERE size < {licenses.LONG} AND votes = size - 1),
+marked AS (
+  SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY doc_id, t ORDER BY d) <= {licenses.NEAR} THEN 0 ELSE 1 END AS fresh FROM diag WHERE size >= {licenses.LONG}),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, t ORDER BY d) AS run FROM marked),
+merged AS (
+  SELECT doc_id, label, base, min(low) AS start, least(1.0, sum(votes) / (size - 1))::DOUBLE AS coverage FROM runs
+  GROUP BY doc_id, t, label, base, size, run HAVING sum(votes) / (size - 1) >= {licenses.COVERAGE} AND max(high) - min(low) + 2 <= size * 1.5),
+spans AS (SELECT * FROM whole UNION ALL SELECT * FROM merged),
+found AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score
+  FROM spans GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM w LEFT JOIN found ON w.doc_id = found.doc_id
+"""
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
+
+
+OP4_SQL = r"""
+WITH sums AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+parts AS (SELECT *, list_transform(range(0, 8), lambda g: ('0x' || hex[g * 5 + 1:g * 5 + 5])::INTEGER) AS v FROM sums),
+coded AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(v, lambda x:
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(x >> 15) + 1] || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((x >> 10) & 31) + 1] ||
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((x >> 5) & 31) + 1] || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(x & 31) + 1]), '') AS payload_digest
+  FROM parts),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS f FROM coded)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> f THEN f END AS refers_to, true AS digest_ok
+FROM firsts
+"""
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(table(spark, sf_dir, "documents"), shards=40)
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -26,6 +122,17 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = tiff.texts_as_media(table(spark, sf_dir, "documents"))
+    stored = media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    pages = tiff.read_pages(stored).drop("media")
+    feature = F.format_string("tiff %dx%d compression=%d predictor=%d tiled=%s first=%s", "width", "height", "compression", "predictor", F.col("tiled").cast("string"), F.hex(F.substring("pixels", 1, 8)))
+    return pages.select(
+        "doc_id", "n_bytes", F.octet_length("pixels").cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"),
+        F.crc32(F.substring("pixels", -16, 16)).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"),
+    )
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, percent=80)
 
@@ -72,13 +179,20 @@ FROM documents t LEFT JOIN sizes USING (doc_id) JOIN comp ON d = t.doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_url_filter": op2_url_filter,
+    "op3_licenses": op3_licenses,
+    "op4_warc": op4_warc,
     "op5_sharding": op5_sharding,
     "op6_language_id": op6_language_id,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op9_tiff": op9_tiff,
     "op10_decontamination": op10_decontamination,
 }
 
 SQL: dict[str, str] = {
+    "op2_url_filter": OP2_SQL,
+    "op3_licenses": OP3_SQL,
+    "op4_warc": OP4_SQL,
     "op7_minhash_dedup": OP7_SQL,
     "op10_decontamination": OP10_SQL,
 }
