@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontaminate, langid, licenses, minhash_dedup, mixing, sharding, tiff, urlfilter, warc
+from loomspark.llm import decontaminate, langid, licenses, linededup, minhash_dedup, mixing, sharding, tiff, urlfilter, warc
 from loomspark.llm.common import table
 
 
@@ -122,6 +122,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.later_matches(table(spark, sf_dir, "documents"), percent=80)
+
+
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = tiff.texts_as_media(table(spark, sf_dir, "documents"))
     stored = media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
@@ -185,6 +189,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_language_id": op6_language_id,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op9_tiff": op9_tiff,
     "op10_decontamination": op10_decontamination,
 }
