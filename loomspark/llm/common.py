@@ -54,10 +54,14 @@ def discard(*tables: DataFrame) -> None:
             _WRITTEN.get(spark.sparkContext.applicationId, [path]).remove(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all that the operators have written in the shared folder; call it when their results have been stored."""
-    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        delete_path(spark, path)
+def release(spark: SparkSession, keep: str | None = None) -> None:
+    """Delete all that the operators have written in the shared folder, but for one path; call it when their results have been stored."""
+    written = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in written:
+        if path != keep:
+            delete_path(spark, path)
+    if keep in written:
+        _WRITTEN[spark.sparkContext.applicationId] = [keep]
 
 
 def small_enough(df: DataFrame, rows: int) -> DataFrame:
