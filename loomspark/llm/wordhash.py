@@ -107,7 +107,7 @@ def shingle_hashes(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.nd
     if not len(hashes):
         return np.zeros(0, dtype=np.uint64), bounds
     rolled = np.zeros(len(hashes), dtype=np.uint64)
-    for j in range(k):
+    for j in range(min(k, len(hashes))):
         rolled[: len(hashes) - j] = rolled[: len(hashes) - j] * np.uint64(0x9FB21C651E98DF25) + hashes[j:]
     at = np.arange(bounds[-1]) + np.repeat(first[:-1] - bounds[:-1], n_windows)
     out = rolled[at]
