@@ -3,7 +3,8 @@
 Each document becomes the set of its word shingles. 256 MinHash samples give
 25 bands of five for candidate buckets, and all samples, folded into a parity
 bitmap of 1024 bits (an odd sketch), let two documents be compared by the
-population count of an XOR. What the sketch passes is confirmed on the full
+population count of an XOR. A second parity bitmap, of the whole set, bounds
+the sets' difference from below. What both pass is confirmed on the full
 shingle sets.
 """
 
@@ -75,6 +76,14 @@ def far_bits(similarity: float) -> int:
     return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - similarity) / SKETCH_BITS)))
 
 
+def parity(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Parity bitmaps (sets x SKETCH_BITS / 64 words) of whole sets laid end to end."""
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    flat = (wh.mix64(hashes ^ np.uint64(0xA5A5F00DBAADCAFE)) & np.uint64(SKETCH_BITS - 1)).astype(np.int64) + owner * SKETCH_BITS
+    odd = (np.bincount(flat, minlength=(len(bounds) - 1) * SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(bounds) - 1, SKETCH_BITS), axis=1).view(np.uint64)
+
+
 def _sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of each text, end to end, and their bounds."""
     data, offsets = wh.string_buffer(texts)
@@ -94,7 +103,7 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, n, hi, lo, sketch, bands) of each row; hi and lo identify the set, and all but id and n are null for an empty one."""
+    """(id, n, hi, lo, sketch, whole, bands) of each row; sketch is the odd sketch, whole the set's own bitmap; hi and lo identify the set, and all but id and n are null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
@@ -114,12 +123,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
                 lengths = np.zeros(len(n), dtype=np.int64)
                 lengths[full] = 1
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("id"), pa.array(n), pa.array(_signed(hi)), pa.array(_signed(lo)), _lists(odd_sketch(samples), lengths * (SKETCH_BITS // 64)), _lists(bands(samples), lengths * BANDS)],
-                    names=["id", "n", "hi", "lo", "sketch", "bands"],
+                    [piece.column("id"), pa.array(n), pa.array(_signed(hi)), pa.array(_signed(lo)), _lists(odd_sketch(samples), lengths * (SKETCH_BITS // 64)), _lists(parity(hashes, kept), lengths * (SKETCH_BITS // 64)), _lists(bands(samples), lengths * BANDS)],
+                    names=["id", "n", "hi", "lo", "sketch", "whole", "bands"],
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, run, "id long, n long, hi long, lo long, sketch array<long>, bands array<long>")
+    return map_arrow(rows, run, "id long, n long, hi long, lo long, sketch array<long>, whole array<long>, bands array<long>")
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -171,54 +180,68 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets form one class whose smallest id stands for it, so exact copies
     never meet each other. Within a bucket every class meets the bucket's
-    smallest id; only buckets whose members are then still in different
-    components are searched further: classes outside the bucket's largest
-    component meet all its members, first their closest by sketch, then all
-    that remain. Every candidate pair is thus either confirmed, rejected, or
-    already in one component, without emitting the pairs of a large group.
+    smallest id, the closest of its buckets first; only buckets whose members
+    are then still in different components are searched further: classes
+    outside the bucket's largest component meet all its members, first their
+    closest by sketch, then all that remain. Every candidate pair is thus
+    either confirmed, rejected, or already in one component, without emitting
+    the pairs of a large group.
     """
     cut = far_bits(percent / 100 - MARGIN)
     everything = materialize(signatures(docs, id_col, text_col, k), "signatures")
     full = everything.where("n > 0 and id is not null")
-    classes = materialize(full.groupBy("hi", "lo").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
-    sketches = classes.select("node", "n", "sketch")
+    classes = materialize(full.groupBy("hi", "lo").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("whole").alias("whole"), F.first("bands").alias("bands")), "classes")
+    sketches = classes.select("node", "n", "sketch", "whole")
     entries = classes.select("node", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("m")).where("m > 1").drop("m")
     members = materialize(entries.join(buckets, "key"), "members")
 
-    def sized(x: str, y: str) -> Column:
-        return F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
+    def near(x: str, y: str) -> Column:
+        """Whether sizes, the sets' own bitmaps and the odd sketches leave it open that two sets are similar enough."""
+        both = F.col(f"{x}_n") + F.col(f"{y}_n")
+        most = F.floor(both * (100 - percent) / (100 + percent))
+        # At most that many bits differ; of large sets, about as many as of a random difference of that size, and six deviations more.
+        seen = F.least(most.cast("double"), SKETCH_BITS / 2 * (1 - F.exp(-2.0 * most / SKETCH_BITS)) + 3 * SKETCH_BITS**0.5)
+        sizes = F.lit(100) * F.least(f"{x}_n", f"{y}_n") >= F.lit(percent) * F.greatest(f"{x}_n", f"{y}_n")
+        return sizes & (_far(F.col(f"{x}_w"), F.col(f"{y}_w")) <= seen) & (_far(F.col(f"{x}_s"), F.col(f"{y}_s")) <= cut)
+
+    def of(x: str, df: DataFrame, *more: str) -> DataFrame:
+        return df.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_s"), F.col("whole").alias(f"{x}_w"), *[F.col(c).alias(f"{x}_{c}") for c in more])
 
     stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    left, right = (sketches.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_s")) for c in "ab")
-    scored = stars.join(left, "a").join(right, "b").where(sized("a_n", "b_n")).select("a", "b", _far(F.col("a_s"), F.col("b_s")).alias("far")).where(F.col("far") <= cut)
+    scored = stars.join(of("a", sketches), "a").join(of("b", sketches), "b").where(near("a", "b"))
+    scored = materialize(scored.select("a", "b", _far(F.col("a_s"), F.col("b_s")).alias("far")), "stars")
     tried = materialize(scored.groupBy("b").agg(F.min_by("a", F.struct("far", "a")).alias("a")).select("a", "b"), "tried")
     links = [confirm(tried, docs, id_col, text_col, k, percent)]
     labels = materialize(connected_components(links[0]), "labels")
-    for last in (False, True):
-        named = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        share = named.groupBy("key", "c").agg(F.count("*").alias("m"))
-        divided = share.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-        open_ = named.join(divided, "key").join(sketches, "node")
-        x = open_.where("c <> main").select("key", F.col("node").alias("x"), F.col("c").alias("xc"), F.col("n").alias("xn"), F.col("sketch").alias("xs"))
-        y = open_.select("key", F.col("node").alias("y"), F.col("c").alias("yc"), F.col("n").alias("yn"), F.col("sketch").alias("ys"))
-        met = x.join(y, (x["key"] == y["key"]) & (F.col("xc") != F.col("yc")) & sized("xn", "yn") & (_far(F.col("xs"), F.col("ys")) <= cut))
-        met = met.groupBy("x", "y").agg(F.first(_far(F.col("xs"), F.col("ys"))).alias("far"))
-        fresh = met.withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")}).join(tried, ["a", "b"], "left_anti")
-        if not last:
-            near = F.min(F.struct("far", "a", "b")).alias("p")
-            fresh = fresh.groupBy("x", F.pmod(F.xxhash64("y"), F.lit(TRIES)).alias("r")).agg(near).select("p.a", "p.b")
+    for step in ("stars", "closest", "rest"):
+        c = labels.select("node", F.col("component").alias("c"))
+        if step == "stars":
+            left, right = (c.select(F.col("node").alias(x), F.col("c").alias(f"{x}_c")) for x in "ab")
+            apart = scored.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("a_c", "a") != F.coalesce("b_c", "b"))
+            fresh = apart.select("a", "b").join(tried, ["a", "b"], "left_anti")
+        else:
+            named = members.join(c, "node", "left").select("key", "node", F.coalesce("c", "node").alias("c"))
+            share = named.groupBy("key", "c").agg(F.count("*").alias("m"))
+            divided = share.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+            open_ = named.join(divided, "key").join(sketches, "node")
+            x, y = of("x", open_.where("c <> main"), "key", "c"), of("y", open_, "key", "c")
+            met = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_c") != F.col("y_c")) & near("x", "y"))
+            met = met.groupBy("x", "y").agg(F.first(_far(F.col("x_s"), F.col("y_s"))).alias("far"))
+            fresh = met.withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")}).join(tried, ["a", "b"], "left_anti")
+        if step == "closest":
+            best = F.min(F.struct("far", "a", "b")).alias("p")
+            fresh = fresh.groupBy("x", F.pmod(F.xxhash64("y"), F.lit(TRIES)).alias("r")).agg(best).select("p.a", "p.b")
         fresh = materialize(fresh.select("a", "b").distinct(), "tried")
         if fresh.isEmpty():
-            break
+            continue
         links.append(confirm(fresh, docs, id_col, text_col, k, percent))
-        both = links[-1]
         tried = tried.union(fresh)
-        if not both.isEmpty():
-            all_links = links[0]
+        if not links[-1].isEmpty():
+            found = links[0]
             for more in links[1:]:
-                all_links = all_links.union(more)
-            labels = materialize(connected_components(all_links), "labels")
+                found = found.union(more)
+            labels = materialize(connected_components(found), "labels")
     named = classes.join(labels, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("c"))
     empty = (F.col("n") == 0) | F.col("id").isNull()
     out = everything.select("id", "n", F.when(~empty, F.col("hi")).alias("hi"), F.when(~empty, F.col("lo")).alias("lo")).join(named, ["hi", "lo"], "left")
