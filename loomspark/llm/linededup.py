@@ -15,95 +15,83 @@ from loomspark.shipping import map_arrow
 
 #: Words whose counts are sent to all tasks, at most, the most frequent ones; bits of a map of the other words that occur in several lines.
 KNOWN_WORDS, MAP_BITS = 1 << 20, 22
+#: Bits of the parity maps that candidates' sets are compared by before the sets themselves.
+WIDE_BITS = 512
 #: Words of more than so many lines' prefixes first meet their earliest line alone.
 HOT = 64
 BROADCAST_IDS = 1_000_000
 _MERGE = 1 << 21
 
 
-def _line_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text and line number of each line that has words, the distinct word hashes of these lines end to end, and their bounds."""
+def _line_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text and line number of each line that has words, the sorted distinct word hashes of all, each line's distinct words as places in these end to end, and the lines' bounds."""
     data, offsets = wh.string_buffer(texts)
     starts, ends, first = wh.words(data, offsets, wh.SPACE_CLASS)
-    hashes = wh.word_hashes(data, starts, ends)
+    words, back = np.unique(wh.word_hashes(data, starts, ends), return_inverse=True)
     breaks = np.flatnonzero(data == 10)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    line = np.searchsorted(breaks, starts)
-    place = line + text
-    order = np.lexsort((hashes, place))
-    place, hashes = place[order], hashes[order]
-    new_line = np.ones(len(place), dtype=bool)
-    new_line[1:] = place[1:] != place[:-1]
-    keep = new_line.copy()
-    keep[1:] |= hashes[1:] != hashes[:-1]
+    place = np.searchsorted(breaks, starts) + text
+    key = np.sort(place * len(words) + back)
+    keep = np.ones(len(key), dtype=bool)
+    keep[1:] = key[1:] != key[:-1]
+    key = key[keep]
+    line = key // max(len(words), 1)
+    new_line = np.ones(len(line), dtype=bool)
+    new_line[1:] = line[1:] != line[:-1]
     at = np.flatnonzero(new_line)
-    of_line = text[order][at]
-    number = line[order][at] - np.searchsorted(breaks, offsets[:-1])[of_line]
-    kept_before = np.concatenate([[0], np.cumsum(keep)])
-    return of_line, number, hashes[keep], kept_before[np.append(at, len(place))]
+    of_line = text[np.searchsorted(place, line[at])]
+    number = line[at] - of_line - np.searchsorted(breaks, offsets[:-1])[of_line]
+    return of_line, number, words, key - line * len(words), np.append(at, len(line))
 
 
-def _class_of(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def _class_of(words: np.ndarray, items: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A 64-bit identity of each set: two different ones of a billion lines agree with a chance below 3 in 100."""
     if len(bounds) < 2:
         return np.zeros(0, dtype=np.int64)
-    return wh.mix64(np.add.reduceat(wh.mix64(hashes + np.uint64(0x632BE59BD9B4E019)), bounds[:-1]) + np.diff(bounds).astype(np.uint64)).view(np.int64)
+    mixed = wh.mix64(words + np.uint64(0x632BE59BD9B4E019))
+    return wh.mix64(np.add.reduceat(mixed[items], bounds[:-1]) + np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
-def _least_shared(n: Column, percent: int) -> Column:
-    return F.ceil(n * percent / 100)
+def _least_shared(n: Column, percent: int, whole: int) -> Column:
+    return F.ceil(n * percent / whole)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, pos, c, n): each line with words, its class (lines of equal word sets) and the size of its word set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        np.seterr(over="ignore")
-        for batch in batches:
-            for piece in pieces(batch, "text"):
-                text, number, hashes, bounds = _line_words(piece.column("text"))
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc").take(pa.array(text)), pa.array(number.astype(np.int32)), pa.array(_class_of(hashes, bounds)), pa.array(np.diff(bounds).astype(np.int32))],
-                    names=["doc", "pos", "c", "n"],
-                )
-
-    return map_arrow(_rows(docs, id_col, text_col), run, "doc long, pos int, c long, n int")
-
-
-def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h, m): each word's hash and the number of lines it is in, over all lines."""
+def lines_and_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Two kinds of rows from one pass over the texts: (doc, pos, c, n), each line with words, its class (lines of equal word sets) and the size of its word set; and (h, m), a word's hash and a number of lines it is in, to be summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         words, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged():
-            more = np.concatenate([words, *held])
-            weights = np.concatenate([counts, np.ones(len(more) - len(counts), dtype=np.int64)])
+            more = np.concatenate([words, *[w for w, _ in held]])
             found, place = np.unique(more, return_inverse=True)
-            return found, np.bincount(place, weights=weights, minlength=len(found)).astype(np.int64)
+            return found, np.bincount(place, weights=np.concatenate([counts, *[m for _, m in held]]), minlength=len(found)).astype(np.int64)
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["h", "m"])
+        def rows(n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+            types = {"doc": pa.int64(), "pos": pa.int32(), "c": pa.int64(), "n": pa.int32(), "h": pa.int64(), "m": pa.int64()}
+            return pa.RecordBatch.from_arrays([columns[x] if x in columns else pa.nulls(n, t) for x, t in types.items()], names=list(types))
 
         for batch in batches:
             for piece in pieces(batch, "text"):
-                held.append(_line_words(piece.column("text"))[2])
-                if sum(map(len, held)) > _MERGE:
+                text, number, found, items, bounds = _line_words(piece.column("text"))
+                held.append((found, np.bincount(items, minlength=len(found))))
+                yield rows(len(text), {"doc": piece.column("doc").take(pa.array(text)), "pos": pa.array(number.astype(np.int32)), "c": pa.array(_class_of(found, items, bounds)), "n": pa.array(np.diff(bounds).astype(np.int32))})
+                if sum(len(w) for w, _ in held) > _MERGE:
                     words, counts = merged()
                     held = []
                     if len(words) > _MERGE:
-                        yield out()
+                        yield rows(len(words), {"h": pa.array(words.view(np.int64)), "m": pa.array(counts)})
                         words, counts = words[:0], counts[:0]
         words, counts = merged()
-        yield out()
+        yield rows(len(words), {"h": pa.array(words.view(np.int64)), "m": pa.array(counts)})
 
-    return map_arrow(_rows(docs, id_col, text_col), run, "h long, m long").groupBy("h").agg(F.sum("m").alias("m"))
+    return map_arrow(_rows(docs, id_col, text_col), run, "doc long, pos int, c long, n int, h long, m long")
 
 
 def rarity(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,10 +118,12 @@ def rarity(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray, np.ndarray], id_col: str, text_col: str, percent: int) -> DataFrame:
-    """(c, n, bits, skip, words) of each class of lines: the words of its prefix that other lines have too, rarest first.
+    """(c, n, bits, skip, often, words) of each class of lines: the words of its prefix that other lines have too, rarest first.
 
-    skip counts the words before them, which are in this line alone; bits is a
-    64-bit parity map of the set. Sets that can't match another are left out.
+    skip counts the words before them, which are in this line alone; often
+    counts those at their end that are, or may be, in more than HOT lines; bits
+    is a 64-bit parity map of the set. Sets that can't match another are left
+    out.
     """
     held = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -141,39 +131,55 @@ def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray, np.ndarray],
         np.seterr(over="ignore")
         frequent, counts, packed = held.value
         places = np.unpackbits(packed).astype(bool)
+        untold = len(counts) > 0 and counts.min() > HOT  # words that are not known may then be in many lines
         for batch in batches:
             for piece in pieces(batch, "text"):
-                _, _, hashes, bounds = _line_words(piece.column("text"))
+                _, _, words, items, bounds = _line_words(piece.column("text"))
                 n = np.diff(bounds)
                 if not len(n):
                     continue
-                c = _class_of(hashes, bounds)
-                bits = np.bitwise_xor.reduceat(np.uint64(1) << (wh.mix64(hashes) & np.uint64(63)), bounds[:-1])
-                words, back = np.unique(hashes, return_inverse=True)
+                c = _class_of(words, items, bounds)
+                parity = np.uint64(1) << (wh.mix64(words) & np.uint64(63))
+                bits = np.bitwise_xor.reduceat(parity[items], bounds[:-1])
                 rank = places[(words & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)].astype(np.int64)
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
                     rank = np.where(frequent[at] == words, counts[at] + 1, rank)
-                rank = rank[back]
+                by_rank = np.argsort(rank, kind="stable")  # and by hash, as words are sorted
+                turn = np.empty_like(by_rank)
+                turn[by_rank] = np.arange(len(by_rank))
                 line = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((hashes, rank, line))
-                hashes, rank = hashes[order], rank[order]
+                items = by_rank[np.sort(line * len(words) + turn[items]) - line * len(words)]
+                rank = rank[items]
                 _, once = np.unique(c, return_index=True)
                 length = n - -(-percent * n // 100) + 1
-                place = np.arange(len(hashes)) - np.repeat(bounds[:-1], n)
+                place = np.arange(len(items)) - np.repeat(bounds[:-1], n)
                 wanted = np.zeros(len(n), dtype=bool)
                 wanted[once] = True
                 wanted &= n * (100 - percent) >= percent  # a set of n words can match one of n + 1
                 early = np.repeat(wanted, n) & (place < np.repeat(length, n))
                 skip = np.bincount(line, weights=early & (rank == 0), minlength=len(n)).astype(np.int32)
                 early &= rank > 0
+                often = np.bincount(line, weights=early & ((rank > HOT + 1) | untold), minlength=len(n)).astype(np.int32)
                 kept = np.bincount(line, weights=early, minlength=len(n)).astype(np.int64)
                 some = np.flatnonzero(kept)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept[some])]).astype(np.int32)), pa.array(hashes[early].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(c[some]), pa.array(n[some].astype(np.int32)), pa.array(bits[some].view(np.int64)), pa.array(skip[some]), lists], names=["c", "n", "bits", "skip", "words"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept[some])]).astype(np.int32)), pa.array(words[items[early]].view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c[some]), pa.array(n[some].astype(np.int32)), pa.array(bits[some].view(np.int64)), pa.array(skip[some]), pa.array(often[some]), lists],
+                    names=["c", "n", "bits", "skip", "often", "words"],
+                )
+
+    return map_arrow(_rows(docs, id_col, text_col), run, "c long, n int, bits long, skip int, often int, words array<long>")
+
 
-    out = map_arrow(_rows(docs, id_col, text_col), run, "c long, n int, bits long, skip int, words array<long>")
-    return out.dropDuplicates(["c"])
+def _wide(words: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Parity maps of WIDE_BITS of sets laid end to end."""
+    n = len(bounds) - 1
+    owner = np.repeat(np.arange(n), np.diff(bounds))
+    places = (wh.mix64(words ^ np.uint64(0xA5A5F00DBAADCAFE)) & np.uint64(WIDE_BITS - 1)).astype(np.int64)
+    odd = (np.bincount(places + owner * WIDE_BITS, minlength=n * WIDE_BITS) & 1).astype(np.uint8)
+    maps = np.packbits(odd.reshape(n, WIDE_BITS), axis=1).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * (WIDE_BITS // 64)).astype(np.int32)), pa.array(maps.ravel()))
 
 
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -186,23 +192,32 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
         np.seterr(over="ignore")
         for batch in batches:
             for piece in pieces(batch, "text"):
-                text, number, hashes, bounds = _line_words(piece.column("text"))
+                text, number, words, items, bounds = _line_words(piece.column("text"))
                 asked = piece.column("at")
                 owner = np.repeat(np.arange(len(asked)), pa.compute.list_value_length(asked).to_numpy(zero_copy_only=False))
                 flat = asked.flatten()
                 place = {(t, p): o for t, p, o in zip(owner.tolist(), flat.field("pos").to_pylist(), flat.field("o").to_pylist())}
                 found = [(i, place[k]) for i, k in enumerate(zip(text.tolist(), number.tolist())) if k in place]
-                lists = [hashes[bounds[i] : bounds[i + 1]].view(np.int64) for i, _ in found]
-                yield pa.RecordBatch.from_arrays([pa.array([o for _, o in found], pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["o", "items"])
+                sets = [words[items[bounds[i] : bounds[i + 1]]] for i, _ in found]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                flat = np.concatenate([words[:0], *sets])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([o for _, o in found], pa.int64()), pa.array(np.diff(ends)), _wide(flat, ends), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))],
+                    names=["o", "n", "wide", "items"],
+                )
 
     rows = _rows(docs, id_col, text_col).join(small_enough(wanted, BROADCAST_IDS), "doc")
-    sets = materialize(map_arrow(rows, run, "o long, items array<long>").dropDuplicates(["o"]), "sets")
+    sets = materialize(map_arrow(rows, run, "o long, n int, wide array<long>, items array<long>").dropDuplicates(["o"]), "sets")
+    early, late = (sets.select(F.col("o").alias(x), F.col("n").alias(f"{x}_n"), F.col("wide").alias(f"{x}_wide")) for x in ("early", "late"))
+    far = sum((F.bit_count(F.col("early_wide").getItem(i).bitwiseXOR(F.col("late_wide").getItem(i))) for i in range(WIDE_BITS // 64)), F.lit(0))
+    both = F.col("early_n") + F.col("late_n")
+    close = pairs.join(early, "early").join(late, "late").where(far <= both - 2 * _least_shared(both, percent, 100 + percent))
+    close = materialize(close.select("early", "late", both.cast("long").alias("s")), "close")
     early, late = (sets.select(F.col("o").alias(x), F.col("items").alias(f"{x}_items")) for x in ("early", "late"))
     shared = F.size(F.array_intersect("early_items", "late_items")).cast("long")
-    both = (F.size("early_items") + F.size("late_items")).cast("long")
-    joined = pairs.join(early, "early").join(late, "late").select("early", "late", shared.alias("i"), both.alias("s"))
+    joined = close.join(early, "early").join(late, "late").select("early", "late", shared.alias("i"), "s")
     out = materialize(joined.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("s") - F.col("i"))).select("early", "late"), "links")
-    discard(sets, wanted)
+    discard(sets, wanted, close)
     return out
 
 
@@ -222,20 +237,31 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parity maps before their sets are compared. Words in many prefixes first
     let their lines meet the earliest of them; only lines not yet found to go
     meet all earlier lines, so groups of near copies don't meet pair by pair.
+    Candidates' sets are read again, and wider parity maps of them leave few
+    to be compared in full.
     """
     spark = docs.sparkSession
-    lines = materialize(lines_of(docs, id_col, text_col), "lines")
+    read = materialize(lines_and_words(docs, id_col, text_col), "lines")
+    lines = read.where("doc is not null").select("doc", "pos", "c", "n")
     firsts = lines.groupBy("c").agg(F.min(F.struct("doc", "pos")).alias("f")).select("c", "f.doc", "f.pos")
     classes = materialize(with_rank(firsts.withColumn("_all", F.lit(0)), "_all", ["doc", "pos"], "o").select("c", "o", "doc", "pos"), "classes")
-    known = rarity(materialize(word_counts(docs, id_col, text_col), "words"))
-    sets = prefixes(docs, known, id_col, text_col, percent).join(classes.select("c", "o"), "c").drop("c")
+    counts = materialize(read.where("h is not null").groupBy("h").agg(F.sum("m").alias("m")), "words")
+    known = rarity(counts)
+    sets = prefixes(docs, known, id_col, text_col, percent).dropDuplicates(["c"]).join(classes.select("c", "o"), "c").drop("c")
     sets = materialize(sets, "prefixes")
-    entries = sets.select("o", "n", "bits", F.posexplode("words").alias("i", "w"), "skip").select("w", "o", "n", "bits", (F.col("i") + F.col("skip")).alias("i"))
+    discard(counts)
+
+    def spread(df: DataFrame) -> DataFrame:
+        return df.select("o", "n", "bits", F.posexplode("words").alias("i", "w"), "skip").select("w", "o", "n", "bits", (F.col("i") + F.col("skip")).alias("i"))
+
+    entries = spread(sets)
+    last = F.slice("words", F.size("words") - F.col("often") + 1, F.col("often"))
+    often = spread(sets.where("often > 0").select("o", "n", "bits", last.alias("words"), (F.col("skip") + F.size("words") - F.col("often")).alias("skip")))
 
     def side(x: str, df: DataFrame) -> DataFrame:
         return df.select(F.col("w").alias(f"{x}_w"), *[F.col(c).alias(f"{x}_{c}") for c in ("o", "n", "bits", "i")])
 
-    least = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent))
+    least = _least_shared(F.col("a_n") + F.col("b_n"), percent, 100 + percent)
     fits = (
         (F.col("a_w") == F.col("b_w")) & (F.col("a_o") < F.col("b_o"))
         & (F.lit(100) * F.least("a_n", "b_n") >= F.lit(percent) * F.greatest("a_n", "b_n"))
@@ -243,13 +269,13 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         & (F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= F.col("a_n") + F.col("b_n") - 2 * least)
     )
     far = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
-    hot = entries.groupBy("w").agg(F.count("*").alias("m"), F.min("o").alias("o")).where(F.col("m") > HOT).select("w", "o")
-    leaders = materialize(entries.join(small_enough(materialize(hot, "hot"), BROADCAST_IDS), ["w", "o"]), "leaders")
-    met = side("b", entries).join(small_enough(side("a", leaders), BROADCAST_IDS), fits)
+    hot = often.groupBy("w").agg(F.count("*").alias("m"), F.min("o").alias("o")).where(F.col("m") > HOT).select("w", "o")
+    leaders = materialize(often.join(small_enough(materialize(hot, "hot"), BROADCAST_IDS), ["w", "o"]), "leaders")
+    met = side("b", often).join(small_enough(side("a", leaders), BROADCAST_IDS), fits)
     near = met.groupBy(F.col("b_o").alias("late")).agg(F.min_by("a_o", F.struct(far, F.col("a_o"))).alias("early"))
     found = _confirm(materialize(near, "met"), classes, docs, id_col, text_col, percent)
     gone = small_enough(found.select(F.col("late").alias("o")).distinct(), BROADCAST_IDS)
-    rest = side("b", sets.join(gone, "o", "left_anti").select("o", "n", "bits", F.posexplode("words").alias("i", "w"), "skip").select("w", "o", "n", "bits", (F.col("i") + F.col("skip")).alias("i")))
+    rest = side("b", spread(sets.join(gone, "o", "left_anti")))
     pairs = side("a", entries).join(rest, fits).select(F.col("a_o").alias("early"), F.col("b_o").alias("late")).distinct()
     more = _confirm(materialize(pairs, "pairs"), classes, docs, id_col, text_col, percent)
     matched = found.union(more).select(F.col("late").alias("o")).distinct().withColumn("matched", F.lit(True))
