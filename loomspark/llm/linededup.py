@@ -221,6 +221,34 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     return out
 
 
+def _entries(sets: DataFrame, found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The entries (w, o, n, bits, i) that the smaller and the larger set of a pair meet by; o holds the set's place, times two, plus one if found has it as late.
+
+    The smaller of two similar sets has a shared word in a prefix about half as
+    long as the other's, so one side is short. Two sets that are both found to
+    go need not meet: for words that many lines have, w tells them apart (its
+    last two bits), so that a group of near copies doesn't meet pair by pair.
+    """
+    gone = small_enough(found.select(F.col("late").alias("o")).distinct().withColumn("gone", F.lit(1)), BROADCAST_IDS)
+    marked = sets.join(gone, "o", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
+    size = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1 - F.col("skip")
+    size = F.greatest(F.least(size, F.size("words")), F.lit(0)).cast("int")
+    short = marked.withColumn("short", size).where("short > 0")
+
+    def spread(df: DataFrame, words: Column, tag: Column, start: int | Column = 0) -> DataFrame:
+        first = (F.size("words") - F.col("often")).alias("first")  # of the words that many lines have
+        place = (F.col("i") + start).cast("int")
+        rows = df.select("o", "gone", "n", "bits", "skip", first, F.posexplode(words).alias("i", "w"))
+        tagged = F.shiftleft("w", 2).bitwiseOR(F.when(place >= F.col("first"), tag).otherwise(0).cast("long"))
+        return rows.select(tagged.alias("w"), (F.col("o") * 2 + F.col("gone")).alias("o"), "n", "bits", (place + F.col("skip")).alias("i"))
+
+    live = short.where((F.col("gone") == 0) & (F.col("short") > F.size("words") - F.col("often")))
+    tail = F.slice("words", F.size("words") - F.col("often") + 1, F.col("short") - F.size("words") + F.col("often"))
+    smaller = spread(short, F.slice("words", F.lit(1), F.col("short")), F.lit(2)).union(spread(live, tail, F.lit(1), F.col("first")))
+    larger = spread(marked, F.col("words"), F.when(F.col("gone") == 1, 1).otherwise(2))
+    return smaller, larger
+
+
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """One row per document: (id_col, n_lines, n_removed, removed_lines), the latter the numbers, from 0, of lines to remove.
 
@@ -232,9 +260,10 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by that id and line number together. An empty table gives no rows.
 
     Equal sets are one class. Its words are ordered from rare to frequent; two
-    similar sets share a word of their prefixes. Classes that meet there pass
-    the length filter, the positional filter, and an exact bound from 64-bit
-    parity maps before their sets are compared. Words in many prefixes first
+    similar sets share a word of their prefixes, the smaller set's being the
+    shorter one. Classes that meet there pass the length filter, the positional
+    filter, and an exact bound from 64-bit parity maps before their sets are
+    compared. Words in many prefixes first
     let their lines meet the earliest of them; only lines not yet found to go
     meet all earlier lines, so groups of near copies don't meet pair by pair.
     Candidates' sets are read again, and wider parity maps of them leave few
@@ -254,29 +283,35 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def spread(df: DataFrame) -> DataFrame:
         return df.select("o", "n", "bits", F.posexplode("words").alias("i", "w"), "skip").select("w", "o", "n", "bits", (F.col("i") + F.col("skip")).alias("i"))
 
-    entries = spread(sets)
-    last = F.slice("words", F.size("words") - F.col("often") + 1, F.col("often"))
-    often = spread(sets.where("often > 0").select("o", "n", "bits", last.alias("words"), (F.col("skip") + F.size("words") - F.col("often")).alias("skip")))
-
     def side(x: str, df: DataFrame) -> DataFrame:
         return df.select(F.col("w").alias(f"{x}_w"), *[F.col(c).alias(f"{x}_{c}") for c in ("o", "n", "bits", "i")])
 
+    last = F.slice("words", F.size("words") - F.col("often") + 1, F.col("often"))
+    often = spread(sets.where("often > 0").select("o", "n", "bits", last.alias("words"), (F.col("skip") + F.size("words") - F.col("often")).alias("skip")))
     least = _least_shared(F.col("a_n") + F.col("b_n"), percent, 100 + percent)
+    far = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
+    close = far <= F.col("a_n") + F.col("b_n") - 2 * least
     fits = (
         (F.col("a_w") == F.col("b_w")) & (F.col("a_o") < F.col("b_o"))
         & (F.lit(100) * F.least("a_n", "b_n") >= F.lit(percent) * F.greatest("a_n", "b_n"))
-        & (1 + F.least(F.col("a_i"), F.col("b_i")) + F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) - 1 >= least)
-        & (F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= F.col("a_n") + F.col("b_n") - 2 * least)
+        & (F.least(F.col("a_i"), F.col("b_i")) + F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= least)
+        & close
     )
-    far = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
     hot = often.groupBy("w").agg(F.count("*").alias("m"), F.min("o").alias("o")).where(F.col("m") > HOT).select("w", "o")
     leaders = materialize(often.join(small_enough(materialize(hot, "hot"), BROADCAST_IDS), ["w", "o"]), "leaders")
     met = side("b", often).join(small_enough(side("a", leaders), BROADCAST_IDS), fits)
     near = met.groupBy(F.col("b_o").alias("late")).agg(F.min_by("a_o", F.struct(far, F.col("a_o"))).alias("early"))
     found = _confirm(materialize(near, "met"), classes, docs, id_col, text_col, percent)
-    gone = small_enough(found.select(F.col("late").alias("o")).distinct(), BROADCAST_IDS)
-    rest = side("b", spread(sets.join(gone, "o", "left_anti")))
-    pairs = side("a", entries).join(rest, fits).select(F.col("a_o").alias("early"), F.col("b_o").alias("late")).distinct()
+    short, long = _entries(sets, found, percent)
+    later = F.greatest("a_o", "b_o")
+    fits = (
+        (F.col("a_w") == F.col("b_w")) & (F.col("a_n") <= F.col("b_n")) & (F.lit(100) * F.col("a_n") >= F.lit(percent) * F.col("b_n"))
+        & ((F.col("a_n") < F.col("b_n")) | (F.col("a_o") < F.col("b_o"))) & (later.bitwiseAND(F.lit(1)) == 0)
+        & (F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= least)  # at the first word they share, all shared ones are still to come
+        & close
+    )
+    early = F.shiftright(F.least("a_o", "b_o"), 1)
+    pairs = side("a", short).join(side("b", long), fits).select(early.alias("early"), F.shiftright(later, 1).alias("late")).where("early < late").distinct()
     more = _confirm(materialize(pairs, "pairs"), classes, docs, id_col, text_col, percent)
     matched = found.union(more).select(F.col("late").alias("o")).distinct().withColumn("matched", F.lit(True))
     verdicts = classes.join(matched, "o", "left").select("c", F.col("doc").alias("first_doc"), F.col("pos").alias("first_pos"), F.coalesce("matched", F.lit(False)).alias("matched"))
