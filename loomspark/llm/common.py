@@ -46,12 +46,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete materialized tables that nothing reads any more."""
+    """Delete materialized tables that nothing reads any more, and the shuffles behind them, which Spark drops once the driver's JVM has collected their handles."""
     for df in tables:
         spark, path = df.sparkSession, getattr(df, "_loomspark_path", None)
         if path:
             delete_path(spark, path)
             _WRITTEN.get(spark.sparkContext.applicationId, [path]).remove(path)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def release(spark: SparkSession, keep: str | None = None) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import wordhash as wh
-from loomspark.llm.common import discard, materialize, pieces, small_enough, with_rank
+from loomspark.llm.common import discard, materialize, pieces, small_enough
 from loomspark.shipping import map_arrow
 
 #: Words whose counts are sent to all tasks, at most, the most frequent ones; bits of a map of the other words that occur in several lines.
@@ -21,6 +21,8 @@ WIDE_BITS = 512
 HOT = 64
 BROADCAST_IDS = 1_000_000
 _MERGE = 1 << 21
+#: Bytes of text at a time where nothing is merged across pieces; their arrays stay in the cache.
+PIECE = 1 << 19
 
 
 def _line_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +120,7 @@ def rarity(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray, np.ndarray], id_col: str, text_col: str, percent: int) -> DataFrame:
-    """(c, n, bits, skip, often, words) of each class of lines: the words of its prefix that other lines have too, rarest first.
+    """(c, doc, pos, n, bits, skip, often, words) of lines, each class once a piece at least: the words of its prefix that other lines have too, rarest first.
 
     skip counts the words before them, which are in this line alone; often
     counts those at their end that are, or may be, in more than HOT lines; bits
@@ -133,8 +135,8 @@ def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray, np.ndarray],
         places = np.unpackbits(packed).astype(bool)
         untold = len(counts) > 0 and counts.min() > HOT  # words that are not known may then be in many lines
         for batch in batches:
-            for piece in pieces(batch, "text"):
-                _, _, words, items, bounds = _line_words(piece.column("text"))
+            for piece in pieces(batch, "text", PIECE):
+                text, number, words, items, bounds = _line_words(piece.column("text"))
                 n = np.diff(bounds)
                 if not len(n):
                     continue
@@ -151,7 +153,9 @@ def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray, np.ndarray],
                 line = np.repeat(np.arange(len(n)), n)
                 items = by_rank[np.sort(line * len(words) + turn[items]) - line * len(words)]
                 rank = rank[items]
-                _, once = np.unique(c, return_index=True)
+                ids = np.asarray(piece.column("doc"))[text]
+                by_class = np.lexsort((number, ids, c))
+                once = by_class[np.append(True, c[by_class][1:] != c[by_class][:-1])]
                 length = n - -(-percent * n // 100) + 1
                 place = np.arange(len(items)) - np.repeat(bounds[:-1], n)
                 wanted = np.zeros(len(n), dtype=bool)
@@ -165,11 +169,11 @@ def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray, np.ndarray],
                 some = np.flatnonzero(kept)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept[some])]).astype(np.int32)), pa.array(words[items[early]].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[some]), pa.array(n[some].astype(np.int32)), pa.array(bits[some].view(np.int64)), pa.array(skip[some]), pa.array(often[some]), lists],
-                    names=["c", "n", "bits", "skip", "often", "words"],
+                    [pa.array(c[some]), piece.column("doc").take(pa.array(text[some])), pa.array(number[some].astype(np.int32)), pa.array(n[some].astype(np.int32)), pa.array(bits[some].view(np.int64)), pa.array(skip[some]), pa.array(often[some]), lists],
+                    names=["c", "doc", "pos", "n", "bits", "skip", "often", "words"],
                 )
 
-    return map_arrow(_rows(docs, id_col, text_col), run, "c long, n int, bits long, skip int, often int, words array<long>")
+    return map_arrow(_rows(docs, id_col, text_col), run, "c long, doc long, pos int, n int, bits long, skip int, often int, words array<long>")
 
 
 def _wide(words: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -182,22 +186,22 @@ def _wide(words: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * (WIDE_BITS // 64)).astype(np.int32)), pa.array(maps.ravel()))
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, repeated: bool, id_col: str, text_col: str, percent: int) -> DataFrame:
     """The pairs (early, late) whose word sets are as similar as percent, the sets being read again from the texts."""
     wanted = pairs.select(F.col("early").alias("o")).union(pairs.select(F.col("late").alias("o"))).distinct()
-    wanted = classes.join(wanted, "o", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("pos", "o")).alias("at"))  # of one document
+    wanted = classes.join(wanted, "o", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("pos", "o", "c")).alias("at"))  # of one document
     wanted = materialize(wanted, "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE):
                 text, number, words, items, bounds = _line_words(piece.column("text"))
                 asked = piece.column("at")
                 owner = np.repeat(np.arange(len(asked)), pa.compute.list_value_length(asked).to_numpy(zero_copy_only=False))
                 flat = asked.flatten()
-                place = {(t, p): o for t, p, o in zip(owner.tolist(), flat.field("pos").to_pylist(), flat.field("o").to_pylist())}
-                found = [(i, place[k]) for i, k in enumerate(zip(text.tolist(), number.tolist())) if k in place]
+                place = dict(zip(zip(owner.tolist(), flat.field("pos").to_pylist(), flat.field("c").to_pylist()), flat.field("o").to_pylist()))
+                found = [(i, place[k]) for i, k in enumerate(zip(text.tolist(), number.tolist(), _class_of(words, items, bounds).tolist())) if k in place]
                 sets = [words[items[bounds[i] : bounds[i + 1]]] for i, _ in found]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
                 flat = np.concatenate([words[:0], *sets])
@@ -207,7 +211,8 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
                 )
 
     rows = _rows(docs, id_col, text_col).join(small_enough(wanted, BROADCAST_IDS), "doc")
-    sets = materialize(map_arrow(rows, run, "o long, n int, wide array<long>, items array<long>").dropDuplicates(["o"]), "sets")
+    sets = map_arrow(rows, run, "o long, n int, wide array<long>, items array<long>")
+    sets = materialize(sets.dropDuplicates(["o"]) if repeated else sets, "sets")
     early, late = (sets.select(F.col("o").alias(x), F.col("n").alias(f"{x}_n"), F.col("wide").alias(f"{x}_wide")) for x in ("early", "late"))
     far = sum((F.bit_count(F.col("early_wide").getItem(i).bitwiseXOR(F.col("late_wide").getItem(i))) for i in range(WIDE_BITS // 64)), F.lit(0))
     both = F.col("early_n") + F.col("late_n")
@@ -222,7 +227,10 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
 
 
 def _entries(sets: DataFrame, found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The entries (w, o, n, bits, i) that the smaller and the larger set of a pair meet by; o holds the set's place, times two, plus one if found has it as late.
+    """The entries (w, o, bits, at) that the smaller and the larger set of a pair meet by.
+
+    o holds the set's place, times two, plus one if found has it as late; at
+    holds n in its upper and the word's position in its lower half.
 
     The smaller of two similar sets has a shared word in a prefix about half as
     long as the other's, so one side is short. Two sets that are both found to
@@ -240,7 +248,7 @@ def _entries(sets: DataFrame, found: DataFrame, percent: int) -> tuple[DataFrame
         place = (F.col("i") + start).cast("int")
         rows = df.select("o", "gone", "n", "bits", "skip", first, F.posexplode(words).alias("i", "w"))
         tagged = F.shiftleft("w", 2).bitwiseOR(F.when(place >= F.col("first"), tag).otherwise(0).cast("long"))
-        return rows.select(tagged.alias("w"), (F.col("o") * 2 + F.col("gone")).alias("o"), "n", "bits", (place + F.col("skip")).alias("i"))
+        return rows.select(tagged.alias("w"), (F.col("o") * 2 + F.col("gone")).alias("o"), "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((place + F.col("skip")).cast("long")).alias("at"))
 
     live = short.where((F.col("gone") == 0) & (F.col("short") > F.size("words") - F.col("often")))
     tail = F.slice("words", F.size("words") - F.col("often") + 1, F.col("short") - F.size("words") + F.col("often"))
@@ -273,11 +281,14 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     read = materialize(lines_and_words(docs, id_col, text_col), "lines")
     lines = read.where("doc is not null").select("doc", "pos", "c", "n")
     firsts = lines.groupBy("c").agg(F.min(F.struct("doc", "pos")).alias("f")).select("c", "f.doc", "f.pos")
-    classes = materialize(with_rank(firsts.withColumn("_all", F.lit(0)), "_all", ["doc", "pos"], "o").select("c", "o", "doc", "pos"), "classes")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = firsts.repartitionByRange(parts, "doc", "pos").sortWithinPartitions("doc", "pos")
+    classes = materialize(ordered.withColumn("o", F.monotonically_increasing_id()), "classes")  # o orders classes by their first lines
     counts = materialize(read.where("h is not null").groupBy("h").agg(F.sum("m").alias("m")), "words")
     known = rarity(counts)
-    sets = prefixes(docs, known, id_col, text_col, percent).dropDuplicates(["c"]).join(classes.select("c", "o"), "c").drop("c")
-    sets = materialize(sets, "prefixes")
+    sets = prefixes(docs, known, id_col, text_col, percent).join(classes, ["c", "doc", "pos"]).drop("c", "doc", "pos")
+    repeated = not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
+    sets = materialize(sets.dropDuplicates(["o"]) if repeated else sets, "prefixes")
     discard(counts)
 
     def spread(df: DataFrame) -> DataFrame:
@@ -290,29 +301,33 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     often = spread(sets.where("often > 0").select("o", "n", "bits", last.alias("words"), (F.col("skip") + F.size("words") - F.col("often")).alias("skip")))
     least = _least_shared(F.col("a_n") + F.col("b_n"), percent, 100 + percent)
     far = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
-    close = far <= F.col("a_n") + F.col("b_n") - 2 * least
     fits = (
         (F.col("a_w") == F.col("b_w")) & (F.col("a_o") < F.col("b_o"))
         & (F.lit(100) * F.least("a_n", "b_n") >= F.lit(percent) * F.greatest("a_n", "b_n"))
         & (F.least(F.col("a_i"), F.col("b_i")) + F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= least)
-        & close
+        & (far <= F.col("a_n") + F.col("b_n") - 2 * least)
     )
     hot = often.groupBy("w").agg(F.count("*").alias("m"), F.min("o").alias("o")).where(F.col("m") > HOT).select("w", "o")
     leaders = materialize(often.join(small_enough(materialize(hot, "hot"), BROADCAST_IDS), ["w", "o"]), "leaders")
     met = side("b", often).join(small_enough(side("a", leaders), BROADCAST_IDS), fits)
     near = met.groupBy(F.col("b_o").alias("late")).agg(F.min_by("a_o", F.struct(far, F.col("a_o"))).alias("early"))
-    found = _confirm(materialize(near, "met"), classes, docs, id_col, text_col, percent)
+    found = _confirm(materialize(near, "met"), classes, docs, repeated, id_col, text_col, percent)
     short, long = _entries(sets, found, percent)
+    short, long = (df.select(*[F.col(c).alias(f"{x}_{c}") for c in df.columns]) for x, df in (("a", short), ("b", long)))
     later = F.greatest("a_o", "b_o")
+    a_n, b_n = F.shiftright("a_at", 32), F.shiftright("b_at", 32)
+    a_i, b_i = (F.col(c).bitwiseAND((1 << 32) - 1) for c in ("a_at", "b_at"))
+    both, least = a_n + b_n, 100 + percent  # sets of n and m words share at least percent * (n + m) / least
     fits = (
-        (F.col("a_w") == F.col("b_w")) & (F.col("a_n") <= F.col("b_n")) & (F.lit(100) * F.col("a_n") >= F.lit(percent) * F.col("b_n"))
-        & ((F.col("a_n") < F.col("b_n")) | (F.col("a_o") < F.col("b_o"))) & (later.bitwiseAND(F.lit(1)) == 0)
-        & (F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= least)  # at the first word they share, all shared ones are still to come
-        & close
+        (F.col("a_w") == F.col("b_w")) & (F.lit(least) * F.least(a_n - a_i, b_n - b_i) >= F.lit(percent) * both)  # at the first word they share, all shared ones are still to come; the length filter follows from this
+        & (a_n <= b_n) & (F.lit(least) * (both - far) >= F.lit(2 * percent) * both)
+        & ((a_n < b_n) | (F.col("a_o") < F.col("b_o"))) & (later.bitwiseAND(F.lit(1)) == 0)
     )
     early = F.shiftright(F.least("a_o", "b_o"), 1)
-    pairs = side("a", short).join(side("b", long), fits).select(early.alias("early"), F.shiftright(later, 1).alias("late")).where("early < late").distinct()
-    more = _confirm(materialize(pairs, "pairs"), classes, docs, id_col, text_col, percent)
+    pairs = short.join(long, fits).select(early.alias("early"), F.shiftright(later, 1).alias("late")).where("early < late").distinct()
+    pairs = materialize(pairs, "pairs")
+    discard(sets, leaders)
+    more = _confirm(pairs, classes, docs, repeated, id_col, text_col, percent)
     matched = found.union(more).select(F.col("late").alias("o")).distinct().withColumn("matched", F.lit(True))
     verdicts = classes.join(matched, "o", "left").select("c", F.col("doc").alias("first_doc"), F.col("pos").alias("first_pos"), F.coalesce("matched", F.lit(False)).alias("matched"))
     first = (F.col("doc") == F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))
