@@ -1,9 +1,11 @@
 """Operators against brute force, exact round trips and edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -357,6 +359,38 @@ def test_pipeline_stages(spark, tmp_path):
     assert {x["doc_id"] for x in pipeline.run(spark, folder).collect()} == kept[4]
 
 
+def brute_mixture(rows):
+    """(id, source) in mixture order, slot by slot with exact weights; rows are (hash, id, source)."""
+    by = {}
+    for h, i, s in sorted(rows, key=lambda x: (x[0], x[1] is not None, x[1] or 0)):
+        by.setdefault(s, []).append((i, s))
+    weight = {s: Fraction(len(own) ** 0.7) for s, own in by.items()}
+    left, out = {s: [own[i : i + 32] for i in range(0, len(own), 32)] for s, own in by.items()}, []
+    while left:
+        whole, given, t = sum(weight[s] for s in left), dict.fromkeys(left, 0), 0
+        while all(left.values()):
+            open_ = [s for s in left if given[s] * whole / weight[s] < t + 1]
+            s = min(open_, key=lambda s: (math.ceil((given[s] + 1) * whole / weight[s]), s is not None, str(s)))
+            out += left[s].pop(0)
+            given[s], t = given[s] + 1, t + 1
+        left = {s: blocks for s, blocks in left.items() if blocks}
+    return out
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_mixing_stage_keeps_every_row_in_order(spark, repeats):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sources = ["hot"] * 400 + [s for s in "abcde" for _ in range(40)] + [None] * 7
+    rows = [(i, f"text {i}", s) for i, s in enumerate(sources)]
+    if repeats:
+        rows += [(i, f"again {i}", "a" if i % 2 else "hot") for i in range(20)] + [(None, f"no id {i}", "hot") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = pipeline.mix_sources(spark, df, "").collect()
+    assert sorted(r["text"] for r in got) == sorted(t for _, t, _ in rows) and {tuple(r) for r in got} == set(rows)
+    hashed = df.select(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "source").collect()
+    assert [(r["doc_id"], r["source"]) for r in got] == brute_mixture([tuple(r) for r in hashed])
+
+
 def test_hash_of_words_is_that_of_single_texts():
     import pyarrow as pa
 
