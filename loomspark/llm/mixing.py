@@ -3,63 +3,86 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import chain, islice
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import with_rank
+from loomspark.llm.common import new_path, small_enough, with_rank
 
-#: Rows of a block; units in which weights are held; sources at most (the schedule that is broadcast has a row for each pair of them at most).
-BLOCK_ROWS, UNITS, SOURCES = 32, 1000, 256
+#: Rows of a block; sources at most; blocks that the driver holds at once; slots that are broadcast at most.
+BLOCK_ROWS, SOURCES, PIECE, BROADCAST = 32, 256, 1 << 18, 2_000_000
 
 
-def schedule(units: Mapping) -> dict:
-    """One period of the Pfair schedule: each source's slots, in order, units[s] of them out of sum(units).
+def turns(units: Mapping) -> Iterator:
+    """The source of each slot, without end, by the Pfair schedule.
 
-    Block j of a source of weight w = units / period is released at
+    Block j of a source of weight w = units / their sum is released at
     floor((j - 1) / w) and due by ceil(j / w); of the released blocks, the one
     with the earliest deadline takes the next slot. After any number of slots
     each source is less than one block from its share.
     """
-    period = sum(units.values())
+    whole, t = sum(units.values()), 0
     names = sorted(units, key=lambda s: (s is None, str(s)))
     waiting = [(0, i, 1) for i in range(len(names)) if units[names[i]]]
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []
-    slots: dict = {s: [] for s in names}
-    for t in range(period):
+    while True:
         while waiting and waiting[0][0] <= t:
             _, i, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-j * period // units[names[i]]), i, j))
+            heapq.heappush(ready, (-(-j * whole // units[names[i]]), i, j))
         _, i, j = heapq.heappop(ready)
-        slots[names[i]].append(t)
-        if j < units[names[i]]:
-            heapq.heappush(waiting, (j * period // units[names[i]], i, j + 1))
+        yield names[i]
+        heapq.heappush(waiting, (j * whole // units[names[i]], i, j + 1))
+        t += 1
+
+
+def schedule(units: Mapping) -> dict:
+    """One period of the schedule: each source's slots, in order, units[s] of them out of sum(units)."""
+    slots: dict = {s: [] for s in units}
+    for t, s in enumerate(islice(turns(units), sum(units.values()))):
+        slots[s].append(t)
     return slots
 
 
 def in_units(weights: Mapping) -> dict:
-    """Positive whole numbers in proportion to weights, about UNITS in all."""
-    total = sum(weights.values())
-    return {s: max(1, round(UNITS * w / total)) for s, w in weights.items()}
-
-
-def phases(blocks: Mapping, units: Mapping) -> list[dict]:
-    """A row for each phase and source in it. A phase ends when a source has given its last block; those left go on at the same ratios."""
-    left, done, base, rows, phase = dict(blocks), dict.fromkeys(blocks, 0), 0, [], 0
-    whole = sum(units.values())
-    while left := {s: n for s, n in left.items() if n > 0}:
-        own = {s: units[s] for s in left}
-        period, places = sum(own.values()), schedule(own)
-        length = 1 + min((n - 1) // own[s] * period + places[s][(n - 1) % own[s]] for s, n in left.items())
-        for s in left:
-            given = length // period * own[s] + sum(p < length % period for p in places[s])
-            rows.append({"source": s, "phase": phase, "first": done[s], "blocks": given, "base": base, "period": period, "places": places[s], "active": period / whole})
-            done[s] += given
-            left[s] -= given
-        base, phase = base + length, phase + 1
-    return rows
+    """The smallest whole numbers in exactly the ratios of weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    common = math.lcm(*[w.denominator for w in exact.values()])
+    whole = {s: int(w * common) for s, w in exact.items()}
+    shared = math.gcd(*whole.values())
+    return {s: n // shared for s, n in whole.items()}
+
+
+def placed(blocks: Mapping, weights: Mapping, slot: int = 0, phase: int = 0) -> Iterator[tuple]:
+    """(source, block, slot, phase, active) for every block. A phase ends when a source has given its last block; those left go on at the same ratios."""
+    units, done = in_units(weights), dict.fromkeys(weights, 0)
+    left, whole = dict(units), sum(units.values())
+    while left:
+        active = sum(left.values()) / whole
+        for s in turns(left):
+            yield s, done[s], slot, phase, active
+            done[s], slot = done[s] + 1, slot + 1
+            if done[s] == blocks[s]:
+                break
+        left, phase = {o: n for o, n in left.items() if o != s}, phase + 1
+
+
+def _slots(spark: SparkSession, rows: Iterator[tuple]) -> DataFrame:
+    """(s, block, slot, phase, active) of rows, written in pieces."""
+    path = new_path(spark, "slots")
+    types = pa.schema({"s": pa.string(), "block": pa.int64(), "slot": pa.int64(), "phase": pa.int32(), "active": pa.float64()})
+    piece = list(islice(rows, PIECE))
+    while True:
+        columns = zip(*piece) if piece else [()] * 5
+        arrays = [pa.array(c, t.type) for c, t in zip(columns, types)]
+        spark.createDataFrame(pa.Table.from_arrays(arrays, schema=types)).write.mode("append").parquet(path)
+        if not (piece := list(islice(rows, PIECE))):
+            return spark.read.schema("s string, block long, slot long, phase int, active double").parquet(path)
 
 
 def mix(docs: DataFrame, weights: Mapping | None = None, source_col: str = "source", id_col: str = "doc_id", temperature: float = 0.7, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -69,12 +92,13 @@ def mix(docs: DataFrame, weights: Mapping | None = None, source_col: str = "sour
     Pfair scheduling gives each block a slot. weights names sources' target
     weights (null is a source of its own; sources not named get weight 0 and
     follow all others, in phases of their own); by default they are the
-    sources' row counts to the power temperature. Weights are held in whole
-    units, so a schedule repeats after a bounded period, which is all the
-    driver computes: from counts by source, never from rows. When a source is
-    used up, the others go on at the same ratios in a new phase; active_weight
-    is the share of the target weight that the sources of a phase hold, 1 in
-    the first. No row is dropped or repeated here. position is gapless from 0.
+    sources' row counts to the power temperature. Weights are held as exact
+    ratios. The driver computes the slots from counts by source, never from
+    rows, and holds PIECE of them at once; its time grows with the number of
+    blocks. When a source is used up, the others go on at the same ratios in a
+    new phase; active_weight is the share of the target weight that the sources
+    of a phase hold, 1 in the first. No row is dropped or repeated here.
+    position is gapless from 0.
 
     Null ids and repeated rows get places like any others. An empty table gives
     no rows. More than SOURCES sources are an error. Texts aren't read.
@@ -89,32 +113,24 @@ def mix(docs: DataFrame, weights: Mapping | None = None, source_col: str = "sour
         raise ValueError("a weight is negative")
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
     named = {s: w for s, w in wanted.items() if w > 0}
-    plan = phases({s: blocks[s] for s in named}, in_units(named)) if named else []
-    rest = {s: 1 for s in wanted if wanted[s] == 0}
-    if rest:
-        base, phase = max((p["base"] + 0 for p in plan), default=0), max((p["phase"] for p in plan), default=-1) + 1
-        base = sum(blocks[s] for s in named)
-        plan += [p | {"base": p["base"] + base, "phase": p["phase"] + phase, "active": 0.0} for p in phases({s: blocks[s] for s in rest}, rest)]
-    table = spark.createDataFrame(
-        [(p["source"], p["phase"], p["first"], p["blocks"], p["base"], p["period"], p["places"], p["active"]) for p in plan],
-        "s string, phase int, first long, blocks long, base long, period long, places array<long>, active double",
-    )
+    rest = dict.fromkeys((s for s, w in wanted.items() if w == 0), 1)
+    last: dict = {}
+
+    def plan() -> Iterator[tuple]:
+        others = placed(blocks, rest, sum(blocks[s] for s in named), len(named)) if rest else ()
+        for s, block, slot, phase, active in chain(placed(blocks, named) if named else (), others):
+            if block == blocks[s] - 1:
+                last[s] = slot
+            yield None if s is None else str(s), block, slot, phase, active if s in named else 0.0
+
+    table = _slots(spark, plan())
     ranked = with_rank(rows.withColumn("_h", F.xxhash64(F.col(id_col).cast("string"))), "source", ["_h", id_col], "_r")
     ranked = ranked.withColumns({"_b": F.floor(F.col("_r") / block_rows).cast("long"), "_i": F.col("_r") % block_rows})
-    found = ranked.join(F.broadcast(table), F.col("source").cast("string").eqNullSafe(F.col("s")) & (F.col("_b") >= F.col("first")) & (F.col("_b") < F.col("first") + F.col("blocks")))
-    quota = F.size("places")
-    at = F.col("_b") - F.col("first")
-    slot = F.col("base") + F.floor(at / quota).cast("long") * F.col("period") + F.get("places", (at % quota).cast("int"))
-    short = [(_slot_of(p, blocks[p["source"]] - 1), blocks[p["source"]] * block_rows - counts[p["source"]]) for p in plan if p["first"] + p["blocks"] == blocks[p["source"]]]
-    found = found.withColumn("slot", slot)
+    found = ranked.join(small_enough(table, BROADCAST), F.col("source").cast("string").eqNullSafe(F.col("s")) & (F.col("_b") == F.col("block")))
+    short = [(t, blocks[s] * block_rows - counts[s]) for s, t in last.items()]
     missing = F.lit(0).cast("long")
     short = [(t, m) for t, m in short if m]
     if short:
         gaps = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.lit(m).cast("long").alias("m")) for t, m in short])
         missing = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + F.when(g["t"] < F.col("slot"), g["m"]).otherwise(F.lit(0).cast("long")))
     return found.select(id_col, "source", "phase", "slot", (F.col("slot") * block_rows + F.col("_i") - missing).alias("position"), F.col("active").alias("active_weight"))
-
-
-def _slot_of(p: dict, block: int) -> int:
-    at, quota = block - p["first"], len(p["places"])
-    return p["base"] + at // quota * p["period"] + p["places"][at % quota]

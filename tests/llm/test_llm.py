@@ -61,6 +61,25 @@ def test_mix_is_whole_and_gapless(spark):
         mixing.mix(docs(spark, ["t"] * 300, source=[str(i) for i in range(300)]))
 
 
+def test_mix_stays_within_a_block_of_the_weights_given(spark):
+    counts = {"hot": 4000} | {f"s{i}": 4 for i in range(200)}
+    rows = list(enumerate(s for s, n in counts.items() for _ in range(n)))
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=1).orderBy("slot").collect()
+    assert [r["slot"] for r in got] == list(range(len(rows)))
+    left, weight = dict(counts), {s: Fraction(n**0.7) for s, n in counts.items()}
+    for phase in range(got[-1]["phase"] + 1):
+        taken = [r["source"] for r in got if r["phase"] == phase]
+        whole = sum(weight[s] for s, n in left.items() if n)
+        for s in {"hot", *taken} if phase else counts:
+            share, given = float(weight[s] / whole), 0
+            for t, x in enumerate(taken, 1):
+                given += x == s
+                assert abs(given - share * t) < 1
+        for s in taken:
+            left[s] -= 1
+    assert not any(left.values())
+
+
 def test_rank(spark):
     df = spark.createDataFrame([(i % 3 if i % 7 else None, i // 2) for i in range(500)], "g int, v int")
     by = {}
