@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +16,15 @@ _WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset on a local master a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not folder:
-        folder = _FALLBACK.setdefault(app, "") or _FALLBACK.update({app: tempfile.mkdtemp(prefix="loomspark-")}) or _FALLBACK[app]
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if app not in _FALLBACK:
+            _FALLBACK[app] = tempfile.mkdtemp(prefix="loomspark-")
+        folder = _FALLBACK[app]
     return folder.rstrip("/")
 
 
@@ -45,15 +49,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def discard(*tables: DataFrame) -> None:
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete materialized tables that nothing reads any more, and the shuffles behind them, which Spark drops once the driver's JVM has collected their handles."""
     for df in tables:
-        spark, path = df.sparkSession, getattr(df, "_loomspark_path", None)
+        path = getattr(df, "_loomspark_path", None)
         if path:
             delete_path(spark, path)
             _WRITTEN.get(spark.sparkContext.applicationId, [path]).remove(path)
-    if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def release(spark: SparkSession, keep: str | None = None) -> None:
@@ -66,9 +69,29 @@ def release(spark: SparkSession, keep: str | None = None) -> None:
         _WRITTEN[spark.sparkContext.applicationId] = [keep]
 
 
-def small_enough(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most so many (narrow) rows, else as it is, for Spark to shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small_enough(df: DataFrame, rows: int, weight: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most so many (narrow) rows, else as it is, for Spark to shuffle.
+
+    Where rows hold arrays, weight gives their lengths, and the sum of one more than each counts.
+    """
+    if weight is None:
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    total = df.agg(F.sum(weight.cast("long") + 1)).first()[0] or 0
+    return F.broadcast(df) if total <= rows else df
+
+
+def by_place(df: DataFrame) -> tuple[DataFrame, Callable]:
+    """df with columns named by their place, which clash with no name an operator uses, and a function that restores the names.
+
+    restored(out, name=column, ...) selects the original columns from out, some of them replaced, or new ones added at the end.
+    """
+    names = df.columns
+
+    def restored(out: DataFrame, **more: Column) -> DataFrame:
+        own = [more.get(c, F.col(f"_own{i}")).alias(c) for i, c in enumerate(names)]
+        return out.select(*own, *[x.alias(c) for c, x in more.items() if c not in names])
+
+    return df.toDF(*[f"_own{i}" for i in range(len(names))]), restored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

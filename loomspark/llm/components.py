@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = materialize(_star(now, True), "cc")
         after = materialize(_star(large, False), "cc")
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        discard(now, large)
+        discard(edges.sparkSession, now, large)
         now = after
         if tuple(mark) == seen:
             break

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import wordhash as wh
-from loomspark.llm.common import discard, materialize, pieces, small_enough
+from loomspark.llm.common import by_place, discard, materialize, pieces, small_enough
 from loomspark.shipping import map_arrow
 
 #: Words whose counts are sent to all tasks, at most, the most frequent ones; bits of a map of the other words that occur in several lines.
@@ -29,10 +29,11 @@ def _line_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     """Text and line number of each line that has words, the sorted distinct word hashes of all, each line's distinct words as places in these end to end, and the lines' bounds."""
     data, offsets = wh.string_buffer(texts)
     starts, ends, first = wh.words(data, offsets, wh.SPACE_CLASS)
-    words, back = np.unique(wh.word_hashes(data, starts, ends), return_inverse=True)
+    words, back = wh.distinct(wh.word_hashes(data, starts, ends))
     breaks = np.flatnonzero(data == 10)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    place = np.searchsorted(breaks, starts) + text
+    before = np.bincount(np.searchsorted(starts, breaks), minlength=len(starts) + 1)
+    place = np.cumsum(before[: len(starts)]) + text
     key = np.sort(place * len(words) + back)
     keep = np.ones(len(key), dtype=bool)
     keep[1:] = key[1:] != key[:-1]
@@ -46,12 +47,13 @@ def _line_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return of_line, number, words, key - line * len(words), np.append(at, len(line))
 
 
-def _class_of(words: np.ndarray, items: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit identity of each set: two different ones of a billion lines agree with a chance below 3 in 100."""
+def _class_of(words: np.ndarray, items: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit identity of each set, in two halves."""
     if len(bounds) < 2:
-        return np.zeros(0, dtype=np.int64)
-    mixed = wh.mix64(words + np.uint64(0x632BE59BD9B4E019))
-    return wh.mix64(np.add.reduceat(mixed[items], bounds[:-1]) + np.diff(bounds).astype(np.uint64)).view(np.int64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    n = np.diff(bounds).astype(np.uint64)
+    halves = (wh.mix64(words + np.uint64(0x632BE59BD9B4E019)), wh.mix64(words ^ np.uint64(0xE220A8397B1DCDAF)))
+    return tuple(wh.mix64(np.add.reduceat(mixed[items], bounds[:-1]) + n).view(np.int64) for mixed in halves)
 
 
 def _least_shared(n: Column, percent: int, whole: int) -> Column:
@@ -63,7 +65,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def lines_and_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Two kinds of rows from one pass over the texts: (doc, pos, c, n), each line with words, its class (lines of equal word sets) and the size of its word set; and (h, m), a word's hash and a number of lines it is in, to be summed."""
+    """Two kinds of rows from one pass over the texts: (doc, pos, c, d, n), each line with words, its class c, d (lines of equal word sets) and the size of its word set; and (h, m), a word's hash and a number of lines it is in, to be summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
@@ -76,14 +78,15 @@ def lines_and_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             return found, np.bincount(place, weights=np.concatenate([counts, *[m for _, m in held]]), minlength=len(found)).astype(np.int64)
 
         def rows(n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-            types = {"doc": pa.int64(), "pos": pa.int32(), "c": pa.int64(), "n": pa.int32(), "h": pa.int64(), "m": pa.int64()}
+            types = {"doc": pa.int64(), "pos": pa.int32(), "c": pa.int64(), "d": pa.int64(), "n": pa.int32(), "h": pa.int64(), "m": pa.int64()}
             return pa.RecordBatch.from_arrays([columns[x] if x in columns else pa.nulls(n, t) for x, t in types.items()], names=list(types))
 
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE):
                 text, number, found, items, bounds = _line_words(piece.column("text"))
                 held.append((found, np.bincount(items, minlength=len(found))))
-                yield rows(len(text), {"doc": piece.column("doc").take(pa.array(text)), "pos": pa.array(number.astype(np.int32)), "c": pa.array(_class_of(found, items, bounds)), "n": pa.array(np.diff(bounds).astype(np.int32))})
+                c, d = _class_of(found, items, bounds)
+                yield rows(len(text), {"doc": piece.column("doc").take(pa.array(text)), "pos": pa.array(number.astype(np.int32)), "c": pa.array(c), "d": pa.array(d), "n": pa.array(np.diff(bounds).astype(np.int32))})
                 if sum(len(w) for w, _ in held) > _MERGE:
                     words, counts = merged()
                     held = []
@@ -93,7 +96,7 @@ def lines_and_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         words, counts = merged()
         yield rows(len(words), {"h": pa.array(words.view(np.int64)), "m": pa.array(counts)})
 
-    return map_arrow(_rows(docs, id_col, text_col), run, "doc long, pos int, c long, n int, h long, m long")
+    return map_arrow(_rows(docs, id_col, text_col), run, "doc long, pos int, c long, d long, n int, h long, m long")
 
 
 def rarity(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +143,7 @@ def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray, np.ndarray],
                 n = np.diff(bounds)
                 if not len(n):
                     continue
-                c = _class_of(words, items, bounds)
+                c, d = _class_of(words, items, bounds)
                 parity = np.uint64(1) << (wh.mix64(words) & np.uint64(63))
                 bits = np.bitwise_xor.reduceat(parity[items], bounds[:-1])
                 rank = places[(words & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)].astype(np.int64)
@@ -154,8 +157,8 @@ def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray, np.ndarray],
                 items = by_rank[np.sort(line * len(words) + turn[items]) - line * len(words)]
                 rank = rank[items]
                 ids = np.asarray(piece.column("doc"))[text]
-                by_class = np.lexsort((number, ids, c))
-                once = by_class[np.append(True, c[by_class][1:] != c[by_class][:-1])]
+                by_class = np.lexsort((number, ids, d, c))
+                once = by_class[np.append(True, (c[by_class][1:] != c[by_class][:-1]) | (d[by_class][1:] != d[by_class][:-1]))]
                 length = n - -(-percent * n // 100) + 1
                 place = np.arange(len(items)) - np.repeat(bounds[:-1], n)
                 wanted = np.zeros(len(n), dtype=bool)
@@ -189,8 +192,8 @@ def _wide(words: np.ndarray, bounds: np.ndarray) -> pa.Array:
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, repeated: bool, id_col: str, text_col: str, percent: int) -> DataFrame:
     """The pairs (early, late) whose word sets are as similar as percent, the sets being read again from the texts."""
     wanted = pairs.select(F.col("early").alias("o")).union(pairs.select(F.col("late").alias("o"))).distinct()
-    wanted = classes.join(wanted, "o", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("pos", "o", "c")).alias("at"))  # of one document
-    wanted = materialize(wanted, "wanted")
+    wanted = classes.join(wanted, "o", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("pos", "o", "c", "d")).alias("at"))  # of one document
+    wanted = small_enough(materialize(wanted, "wanted"), BROADCAST_IDS, F.size("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
@@ -200,8 +203,8 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, repeated: bo
                 asked = piece.column("at")
                 owner = np.repeat(np.arange(len(asked)), pa.compute.list_value_length(asked).to_numpy(zero_copy_only=False))
                 flat = asked.flatten()
-                place = dict(zip(zip(owner.tolist(), flat.field("pos").to_pylist(), flat.field("c").to_pylist()), flat.field("o").to_pylist()))
-                found = [(i, place[k]) for i, k in enumerate(zip(text.tolist(), number.tolist(), _class_of(words, items, bounds).tolist())) if k in place]
+                place = dict(zip(zip(owner.tolist(), *[flat.field(x).to_pylist() for x in ("pos", "c", "d")]), flat.field("o").to_pylist()))
+                found = [(i, place[k]) for i, k in enumerate(zip(text.tolist(), number.tolist(), *[x.tolist() for x in _class_of(words, items, bounds)])) if k in place]
                 sets = [words[items[bounds[i] : bounds[i + 1]]] for i, _ in found]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
                 flat = np.concatenate([words[:0], *sets])
@@ -210,7 +213,7 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, repeated: bo
                     names=["o", "n", "wide", "items"],
                 )
 
-    rows = _rows(docs, id_col, text_col).join(small_enough(wanted, BROADCAST_IDS), "doc")
+    rows = _rows(docs, id_col, text_col).join(wanted, "doc")
     sets = map_arrow(rows, run, "o long, n int, wide array<long>, items array<long>")
     sets = materialize(sets.dropDuplicates(["o"]) if repeated else sets, "sets")
     early, late = (sets.select(F.col("o").alias(x), F.col("n").alias(f"{x}_n"), F.col("wide").alias(f"{x}_wide")) for x in ("early", "late"))
@@ -222,7 +225,7 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, repeated: bo
     shared = F.size(F.array_intersect("early_items", "late_items")).cast("long")
     joined = close.join(early, "early").join(late, "late").select("early", "late", shared.alias("i"), "s")
     out = materialize(joined.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("s") - F.col("i"))).select("early", "late"), "links")
-    discard(sets, wanted, close)
+    discard(docs.sparkSession, sets, wanted, close)
     return out
 
 
@@ -235,25 +238,26 @@ def _entries(sets: DataFrame, found: DataFrame, percent: int) -> tuple[DataFrame
     The smaller of two similar sets has a shared word in a prefix about half as
     long as the other's, so one side is short. Two sets that are both found to
     go need not meet: for words that many lines have, w tells them apart (its
-    last two bits), so that a group of near copies doesn't meet pair by pair.
+    last two bits, after 48 of the word's hash: 2 to meet sets that stay, 1 to meet those that go), so that
+    a group of near copies doesn't meet pair by pair. A smaller set that stays
+    meets both kinds and has two such entries for a word.
     """
     gone = small_enough(found.select(F.col("late").alias("o")).distinct().withColumn("gone", F.lit(1)), BROADCAST_IDS)
     marked = sets.join(gone, "o", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
     size = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1 - F.col("skip")
     size = F.greatest(F.least(size, F.size("words")), F.lit(0)).cast("int")
-    short = marked.withColumn("short", size).where("short > 0")
+    marked = marked.withColumn("first", F.size("words") - F.col("often"))  # of the words that many lines have
+
+    def spread(df: DataFrame, words: Column, i: Column, tag: Column) -> DataFrame:
+        rows = df.select("*", F.posexplode(words).alias("p", "w")).withColumn("i", i)
+        tagged = F.shiftleft(F.shiftrightunsigned("w", 16), 2).bitwiseOR(F.when(F.col("i") >= F.col("first"), tag).otherwise(0).cast("long"))
+        return rows.select(tagged.alias("w"), (F.col("o") * 2 + F.col("gone")).alias("o"), "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("i") + F.col("skip")).cast("long")).alias("at"))
 
-    def spread(df: DataFrame, words: Column, tag: Column, start: int | Column = 0) -> DataFrame:
-        first = (F.size("words") - F.col("often")).alias("first")  # of the words that many lines have
-        place = (F.col("i") + start).cast("int")
-        rows = df.select("o", "gone", "n", "bits", "skip", first, F.posexplode(words).alias("i", "w"))
-        tagged = F.shiftleft("w", 2).bitwiseOR(F.when(place >= F.col("first"), tag).otherwise(0).cast("long"))
-        return rows.select(tagged.alias("w"), (F.col("o") * 2 + F.col("gone")).alias("o"), "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((place + F.col("skip")).cast("long")).alias("at"))
-
-    live = short.where((F.col("gone") == 0) & (F.col("short") > F.size("words") - F.col("often")))
-    tail = F.slice("words", F.size("words") - F.col("often") + 1, F.col("short") - F.size("words") + F.col("often"))
-    smaller = spread(short, F.slice("words", F.lit(1), F.col("short")), F.lit(2)).union(spread(live, tail, F.lit(1), F.col("first")))
-    larger = spread(marked, F.col("words"), F.when(F.col("gone") == 1, 1).otherwise(2))
+    short = marked.withColumn("short", size).where("short > 0")
+    again = F.when((F.col("gone") == 0) & (F.col("short") > F.col("first")), F.slice("words", F.col("first") + 1, F.col("short") - F.col("first"))).otherwise(F.slice("words", 1, 0))
+    second = F.col("p") >= F.col("short")
+    smaller = spread(short, F.concat(F.slice("words", F.lit(1), F.col("short")), again), F.when(second, F.col("p") - F.col("short") + F.col("first")).otherwise(F.col("p")), F.when(second, 1).otherwise(2))
+    larger = spread(marked, F.col("words"), F.col("p"), F.when(F.col("gone") == 1, 1).otherwise(2))
     return smaller, larger
 
 
@@ -279,26 +283,24 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     read = materialize(lines_and_words(docs, id_col, text_col), "lines")
-    lines = read.where("doc is not null").select("doc", "pos", "c", "n")
-    firsts = lines.groupBy("c").agg(F.min(F.struct("doc", "pos")).alias("f")).select("c", "f.doc", "f.pos")
+    counts = materialize(read.where("h is not null").groupBy("h").agg(F.sum("m").alias("m")), "words")
+    known = rarity(counts)
+    lines = materialize(read.where("doc is not null").select("doc", "pos", "c", "d"), "lines")
+    discard(spark, counts, read)
+    firsts = lines.groupBy("c", "d").agg(F.min(F.struct("doc", "pos")).alias("f")).select("c", "d", "f.doc", "f.pos")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = firsts.repartitionByRange(parts, "doc", "pos").sortWithinPartitions("doc", "pos")
     classes = materialize(ordered.withColumn("o", F.monotonically_increasing_id()), "classes")  # o orders classes by their first lines
-    counts = materialize(read.where("h is not null").groupBy("h").agg(F.sum("m").alias("m")), "words")
-    known = rarity(counts)
-    sets = prefixes(docs, known, id_col, text_col, percent).join(classes, ["c", "doc", "pos"]).drop("c", "doc", "pos")
+    sets = prefixes(docs, known, id_col, text_col, percent).join(classes.drop("d"), ["c", "doc", "pos"]).drop("c", "doc", "pos")
     repeated = not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
     sets = materialize(sets.dropDuplicates(["o"]) if repeated else sets, "prefixes")
-    discard(counts)
-
-    def spread(df: DataFrame) -> DataFrame:
-        return df.select("o", "n", "bits", F.posexplode("words").alias("i", "w"), "skip").select("w", "o", "n", "bits", (F.col("i") + F.col("skip")).alias("i"))
+    discard(spark)
 
     def side(x: str, df: DataFrame) -> DataFrame:
         return df.select(F.col("w").alias(f"{x}_w"), *[F.col(c).alias(f"{x}_{c}") for c in ("o", "n", "bits", "i")])
 
-    last = F.slice("words", F.size("words") - F.col("often") + 1, F.col("often"))
-    often = spread(sets.where("often > 0").select("o", "n", "bits", last.alias("words"), (F.col("skip") + F.size("words") - F.col("often")).alias("skip")))
+    entries = sets.select("o", "n", "bits", "skip", (F.size("words") - F.col("often")).alias("first"), F.posexplode("words").alias("i", "w"))
+    often = entries.where("i >= first").select("w", "o", "n", "bits", (F.col("i") + F.col("skip")).alias("i"))
     least = _least_shared(F.col("a_n") + F.col("b_n"), percent, 100 + percent)
     far = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
     fits = (
@@ -326,12 +328,12 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     early = F.shiftright(F.least("a_o", "b_o"), 1)
     pairs = short.join(long, fits).select(early.alias("early"), F.shiftright(later, 1).alias("late")).where("early < late").distinct()
     pairs = materialize(pairs, "pairs")
-    discard(sets, leaders)
+    discard(spark, sets, leaders)
     more = _confirm(pairs, classes, docs, repeated, id_col, text_col, percent)
     matched = found.union(more).select(F.col("late").alias("o")).distinct().withColumn("matched", F.lit(True))
-    verdicts = classes.join(matched, "o", "left").select("c", F.col("doc").alias("first_doc"), F.col("pos").alias("first_pos"), F.coalesce("matched", F.lit(False)).alias("matched"))
+    verdicts = classes.join(matched, "o", "left").select("c", "d", F.col("doc").alias("first_doc"), F.col("pos").alias("first_pos"), F.coalesce("matched", F.lit(False)).alias("matched"))
     first = (F.col("doc") == F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))
-    removed = lines.join(verdicts, "c").where(F.col("matched") | ~first).groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("removed_lines"))  # of one document
+    removed = lines.join(verdicts, ["c", "d"]).where(F.col("matched") | ~first).groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("removed_lines"))  # of one document
     breaks = F.coalesce(F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     out = docs.select(F.col(id_col), F.col(text_col).alias("t")).select(id_col, breaks.alias("n_lines")).join(removed, F.col(id_col) == F.col("doc"), "left")
     removed_lines = F.coalesce("removed_lines", F.array().cast("array<int>"))
@@ -339,9 +341,15 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def remove_lines(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the lines that judged (from later_matches) names taken out of the texts; all rows and columns stay."""
+    """docs with the lines that judged (from later_matches) names taken out of the texts.
+
+    All rows and columns stay, whatever their names; null texts, and rows whose
+    id is null, are left as they are. Rows that share an id lose the same
+    lines. An empty table gives no rows.
+    """
+    own, restored = by_place(docs)
+    key, text = (F.col(own.columns[docs.columns.index(c)]) for c in (id_col, text_col))
     some = judged.where("n_removed > 0").select(F.col(id_col).alias("_id"), "removed_lines").dropDuplicates(["_id"])
-    lines = F.split(text_col, "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("removed_lines"), i)), "\n")
-    out = docs.join(small_enough(some, BROADCAST_IDS), docs[id_col] == F.col("_id"), "left")
-    return out.withColumn(text_col, F.when(F.col("_id").isNotNull(), kept).otherwise(F.col(text_col))).select(*docs.columns)
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("removed_lines"), i)), "\n")
+    out = own.join(small_enough(some, BROADCAST_IDS, F.size("removed_lines")), key == F.col("_id"), "left")
+    return restored(out, **{text_col: F.when(F.col("_id").isNotNull(), kept).otherwise(text)})

@@ -161,7 +161,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: in
     shared = F.size(F.array_intersect("a_items", "b_items")).cast("long")
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("i"), (F.size("a_items") + F.size("b_items")).cast("long").alias("s"))
     out = materialize(joined.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("s") - F.col("i"))).select("a", "b"), "links")
-    discard(sets, ids)
+    discard(docs.sparkSession, sets, ids)
     return out
 
 

@@ -1,20 +1,16 @@
 """Vectorised word and shingle hashing over whole Arrow string columns.
 
-Texts are hashed as one contiguous UTF-8 buffer per Arrow batch: a polynomial
-prefix sum modulo 2^64 gives every word's hash by one subtraction and one
-multiplication, whatever the words' lengths, and a 64-bit finaliser spreads
-the bits. No Python loop runs over words.
+Texts are hashed as one contiguous UTF-8 buffer per Arrow batch, eight bytes of
+every word at a time. No Python loop runs over words, but for very long ones.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE_VALUES = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint64)
-
 #: Bytes 0x20 and 0x09 to 0x0D separate words.
 SPACE_CLASS = np.zeros(256, dtype=bool)
 SPACE_CLASS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -24,7 +20,9 @@ PUNCT_CLASS[0x30:0x3A] = PUNCT_CLASS[0x41:0x5B] = PUNCT_CLASS[0x61:0x7B] = PUNCT
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-_LOWER_VALUES = _BYTE_VALUES[_LOWER]
+#: The lowest 0 to 8 bytes of a 64-bit value; words of more bytes than _LONG are hashed one by one.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+_LONG = 256
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -45,55 +43,53 @@ def string_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out, dtype=np.uint64)
-
-
-_STRIDE = 1 << 16
-_POWERS, _INVERSES = _powers(_BASE, _STRIDE), _powers(_INVERSE, _STRIDE)
-
-
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and for each text the index of its first word (n + 1 values)."""
-    sep = separators[data]
-    inside = ~sep
-    begins = inside.copy()
-    begins[1:] &= sep[:-1]
-    cuts = offsets[:-1]
-    cuts = cuts[cuts < len(data)]
-    begins[cuts] = inside[cuts]
-    starts = np.flatnonzero(begins)
-    ends_here = inside.copy()
-    ends_here[:-1] &= sep[1:]
-    lasts = offsets[1:][offsets[1:] > 0] - 1
-    ends_here[lasts] = inside[lasts]
-    ends = np.flatnonzero(ends_here) + 1
+    breaks = np.flatnonzero(separators[data])
+    # Texts and separators cut the bytes into segments in order, so sorted beginnings and sorted ends pair up.
+    starts = np.sort(np.concatenate([breaks + 1, offsets[:-1]]), kind="stable")
+    ends = np.sort(np.concatenate([breaks, offsets[1:]]), kind="stable")
+    full = ends > starts
+    starts, ends = starts[full], ends[full]
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes, and the place among them of each one given."""
+    n = len(hashes)
+    bits = np.uint64(n.bit_length())
+    packed = ((hashes >> bits) << bits) | np.arange(n, dtype=np.uint64)
+    packed.sort()  # much faster than an argsort
+    order = (packed & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    found = hashes[order]
+    if n and (found[1:] < found[:-1]).any():  # different hashes whose upper bits agree
+        return np.unique(hashes, return_inverse=True)
+    new = np.ones(n, dtype=bool)
+    new[1:] = found[1:] != found[:-1]
+    place = np.empty(n, dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return found[new], place
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, A-Z read as a-z."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    # Powers repeat every _STRIDE bytes; words that cross a stride are hashed anew below.
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    for a in range(0, len(data), _STRIDE):
-        part = _LOWER_VALUES[data[a : a + _STRIDE]]
-        part *= _POWERS[: len(part)]
-        sums[a + 1 : a + len(part) + 1] = part
-    np.cumsum(sums, out=sums, dtype=np.uint64)
-    out = (sums[ends] - sums[starts]) * _INVERSES[starts & (_STRIDE - 1)]
-    for i in np.flatnonzero((starts // _STRIDE) != ((ends - 1) // _STRIDE)):
-        value, size = 0, int(ends[i] - starts[i])
-        for a in range(0, size, _STRIDE):
-            part = _LOWER_VALUES[data[starts[i] + a : min(ends[i], starts[i] + a + _STRIDE)]]
-            value += int((part * _POWERS[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, a, 1 << 64)
-        out[i] = np.uint64(value & 0xFFFFFFFFFFFFFFFF)
-    out += (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return mix64(out)
+    low = np.zeros(len(data) + 8, dtype=np.uint8)
+    np.take(_LOWER, data, out=low[: len(data)])
+    eights = np.ndarray(len(data) + 1, dtype="<u8", buffer=low, strides=(1,))  # eight bytes from each place on
+    sizes = ends - starts
+    out = mix64(sizes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + (eights[starts] & _MASKS[np.minimum(sizes, 8)]))
+    more, at = np.flatnonzero(sizes > 8), 8
+    while len(more) and at < _LONG:
+        part = eights[starts[more] + at] & _MASKS[np.minimum(sizes[more] - at, 8)]
+        out[more] = mix64(out[more] * np.uint64(0x9FB21C651E98DF25) + part)
+        at += 8
+        more = more[sizes[more] > at]
+    for i in more:
+        digest = hashlib.blake2b(low[starts[i] : ends[i]], digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
 
 
 def shingle_hashes(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
