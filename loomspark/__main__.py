@@ -30,6 +30,22 @@ def _nested(pairs: list[tuple[str, object]]) -> dict:
     return out
 
 
+def _count(text: str) -> tuple[str, int]:
+    name, value = _setting(text)
+    if not isinstance(value, int):
+        raise argparse.ArgumentTypeError(f"{text} is not NAME=COUNT")
+    return name, value
+
+
+def _flags(args: argparse.Namespace) -> dict:
+    """Settings of the flags that take several values."""
+    if args.command == "convert":
+        return {k: v for k, v in (("input_path", args.input_path), ("groups_json", args.groups_json)) if v}
+    out: dict = {"seed_source": {"file_extensions": args.file_extensions}} if args.file_extensions else {}
+    counts = {k: dict(v) for k, v in (("query_counts", args.query_counts), ("reasoning_counts", args.reasoning_counts)) if v}
+    return out | ({"pipeline": counts} if counts else {})
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="loomspark")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -37,19 +53,31 @@ def main(argv: list[str] | None = None) -> int:
         own = commands.add_parser(name)
         own.add_argument("--config")
         own.add_argument("--set", action="append", type=_setting, default=[], metavar="NAME=VALUE")
+        if name == "generate":
+            own.add_argument("--file-extensions", nargs="+", metavar="EXTENSION")
+            own.add_argument("--query-counts", nargs="+", type=_count, metavar="NAME=COUNT")
+            own.add_argument("--reasoning-counts", nargs="+", type=_count, metavar="NAME=COUNT")
+            own.add_argument("--preview", type=int, metavar="RECORDS")
+        else:
+            own.add_argument("input_path", nargs="?")
+            own.add_argument("--groups-json", nargs="+", metavar="PATH")
     args = parser.parse_args(argv)
     kind = GenerationConfig if args.command == "generate" else ConversionConfig
     try:
-        config, _ = load(kind, args.config, _nested(args.set))
+        config, _ = load(kind, args.config, _nested(args.set), _flags(args))
     except (ValueError, OSError) as e:
         print(f"configuration: {e}", file=sys.stderr)
         return 2
     spark = SparkSession.builder.appName("loomspark").getOrCreate()
     try:
         if args.command == "generate":
-            from loomspark.plans.generate import StubClient, generate
+            from loomspark.plans.generate import StubClient, generate, preview
 
-            print(generate(spark, config, StubClient(config.pipeline.num_pairs)))
+            client = StubClient(config.pipeline.num_pairs)
+            if args.preview:
+                preview(spark, config, client, args.preview).show(args.preview, truncate=80)
+            else:
+                print(generate(spark, config, client))
         else:
             from loomspark.plans.convert import convert
 

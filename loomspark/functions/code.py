@@ -19,6 +19,9 @@ LANGUAGES = {
     ".yml": "yaml", ".zsh": "zsh",
 }
 LANGUAGES_BY_NAME = {"Dockerfile": "dockerfile", "Makefile": "makefile"}
+# Folders whose files aren't code of a repository's own.
+EXCLUDED_FOLDERS = (".git", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".venv", "__pycache__", "build", "dist", "node_modules", "venv")
+DEFAULT_EXCLUDES = [pattern for folder in EXCLUDED_FOLDERS for pattern in (f"{folder}/*", f"**/{folder}/*")]
 
 
 def _map(values: dict[str, str]) -> Column:
@@ -31,11 +34,18 @@ def code_language(path: Column) -> Column:
     return F.coalesce(F.try_element_at(_map(LANGUAGES_BY_NAME), name), F.try_element_at(_map(LANGUAGES), suffix(name)), F.regexp_replace(suffix(name), r"^\.+", ""))
 
 
+# Fixed value: what a repository's short name looks like.
+REPOSITORY = "^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$"
+
+
 def github_repository(spec: Column) -> Column:
-    """owner/name of a repository's short name or address; null where it isn't one."""
-    bare = F.regexp_replace(F.trim(spec), r"^(https?://(www\.)?github\.com/|git@github\.com:)", "")
-    name = F.regexp_replace(F.regexp_replace(bare, "/+$", ""), r"\.git$", "")
-    return F.when(name.rlike(r"^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$"), name)
+    """owner/name of a repository's short name or address; null where it isn't one. Addresses may have a query; their host is github.com in any case."""
+    bare = F.trim(spec)
+    web = r"^(?i:https?)://([^/?#]*)([^?#]*)"
+    path = F.regexp_replace(F.btrim(F.regexp_extract(bare, web, 2), F.lit("/")), r"\.git$", "")
+    other = F.btrim(F.regexp_replace(F.regexp_replace(bare, "^git@github\\.com:", ""), r"\.git$", ""), F.lit("/"))
+    name = F.when(bare.rlike(web), F.when(F.lower(F.regexp_extract(bare, web, 1)) == "github.com", path)).otherwise(other)
+    return F.when(name.rlike(REPOSITORY), name)
 
 
 def clone_url(repository: Column) -> Column:
@@ -79,9 +89,9 @@ def normalize_extension(extension: Column) -> Column:
 
 
 def semver_parts(version: Column) -> Column:
-    """struct(major, minor, patch) of a plain x.y.z; null for anything else."""
-    pattern = r"^(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)$"
-    number = lambda i: F.try_to_number(F.nullif(F.regexp_extract(version, pattern, i), F.lit("")), F.lit("999999999")).cast("int")
+    """struct(major, minor, patch) of a plain x.y.z, leading zeros allowed; null for anything else."""
+    pattern = r"^([0-9]+)\.([0-9]+)\.([0-9]+)$"
+    number = lambda i: F.regexp_extract(version, pattern, i).try_cast("long")
     return F.when(version.rlike(pattern), F.struct(number(1).alias("major"), number(2).alias("minor"), number(3).alias("patch")))
 
 
@@ -94,6 +104,33 @@ def bump_semver(version: Column, part: str) -> Column:
     return F.when(v.isNotNull(), F.concat_ws(".", *[x.cast("string") for x in new]))
 
 
+def destination_path(path: Column, has_index: Column) -> Column:
+    """Where a page of documentation goes: a README at the root is the index, unless there is one."""
+    return F.when((path == "README.md") & ~has_index, "index.md").otherwise(path)
+
+
+def page_rank(path: Column) -> Column:
+    """0 for index pages, which come first, else 1."""
+    return F.when(base_name(path).isin("index.md", "README.md"), 0).otherwise(1)
+
+
+def quoted(text: Column) -> Column:
+    """A text in double quotes, escaped as JSON and TOML do."""
+    return F.regexp_extract(F.to_json(F.struct(text.alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
+
+
+def escaped(text: Column) -> Column:
+    """A text for HTML."""
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    return text
+
+
+def markdown_codes(values: Column) -> Column:
+    """Values as code in Markdown."""
+    return F.when(F.size(values) > 0, F.array_join(F.transform(values, lambda v: F.concat(F.lit("`"), v, F.lit("`"))), ", ")).otherwise("None declared")
+
+
 def docs_slug(text: Column, collapse: bool = True) -> Column:
     """A lower-case name for a docs path; runs of other characters become one hyphen, or one each."""
     slug = F.regexp_replace(F.lower(text), r"[^a-z0-9_.-]+" if collapse else r"[^a-z0-9_.-]", "-")
@@ -122,7 +159,7 @@ def owner_tokens(codeowners: Column) -> Column:
 
 def is_release_owner(token: Column) -> Column:
     """@user or @organisation/team."""
-    return token.rlike(r"^@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:/[A-Za-z0-9._-]+)?$")
+    return token.rlike(r"^@[A-Za-z0-9][A-Za-z0-9-]*(?:/[A-Za-z0-9][A-Za-z0-9_-]*)?$")
 
 
 def is_sha256_field(value: Column) -> Column:
@@ -169,7 +206,22 @@ def header_state(text: Column, expected: Column) -> Column:
 
 
 def copyright_years(first: Column, now: Column) -> Column:
-    return F.when(first >= now, now.cast("string")).otherwise(F.concat(first.cast("string"), F.lit("-"), now.cast("string")))
+    """The years of a notice: now, or first to now; an unknown first year is now."""
+    return F.when(F.coalesce(first, now) >= now, now.cast("string")).otherwise(F.concat(first.cast("string"), F.lit("-"), now.cast("string")))
+
+
+def license_header(years: Column, holder: str, license_id: str) -> Column:
+    """The comment lines of a notice, with a blank line after them."""
+    return F.concat(F.lit("# SPDX-FileCopyrightText: Copyright (c) "), years, F.lit(f" {holder}\n# SPDX-License-Identifier: {license_id}\n\n"))
+
+
+def with_header(text: Column, header: Column) -> Column:
+    """A file's text with header in place of its own, after a first line that names an interpreter; nothing else follows, nor does a blank line."""
+    shebang = F.regexp_extract(text, r"^(#![^\n]*\n)", 1)
+    rest = F.substring(text, F.length(shebang) + 1, F.length(text))
+    own = r"(?i)^(?:[^\S\n]*\n|#(?![^\n]*spdx)[^\n]*\n)*?((?:#[^\n]*spdx[^\n]*(?:\n|$))+)\n*"
+    body = F.ltrim(F.when(rest.rlike(own), F.regexp_replace(rest, own, "")).otherwise(rest), F.lit("\n"))
+    return F.when(body == "", F.concat(shebang, F.regexp_replace(header, "\n+$", "\n"))).otherwise(F.concat(shebang, header, body))
 
 
 def header_start_year(header: Column) -> Column:
@@ -213,3 +265,32 @@ def _version_keys(values: pd.Series) -> pd.Series:
         return ".".join(f"{p:08d}" for p in parts) + ("+" + m[8] if m[8] else "")
 
     return values.map(key)
+
+
+#: A version as PEP 440 has it.
+VERSION = r"v?(?:[0-9]+!)?[0-9]+(?:\.[0-9]+)*(?:[-_.]?(?:alpha|a|beta|b|preview|pre|c|rc)[-_.]?[0-9]*)?(?:-[0-9]+|[-_.]?(?:post|rev|r)[-_.]?[0-9]*)?(?:[-_.]?dev[-_.]?[0-9]*)?(?:\+[a-z0-9]+(?:[-_.][a-z0-9]+)*)?"
+_CLAUSE = rf"(?i)^(?:(?:<=|>=|<|>){VERSION}|(?:==|!=)(?:{VERSION}|v?(?:[0-9]+!)?[0-9]+(?:\.[0-9]+)*\.\*)|~=(?=v?(?:[0-9]+!)?[0-9]+\.[0-9]){VERSION}|===\S+)$"
+_REQUIREMENT = r"^\s*([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)\s*(\[[^\]]*\])?\s*(?:\(([^)]*)\)|([^;@(]*))\s*(?:;(.*))?$"
+
+
+def is_version(text: Column) -> Column:
+    return F.coalesce(F.trim(text).rlike(f"(?i)^{VERSION}$"), F.lit(False))
+
+
+def version_specifier(text: Column) -> Column:
+    """Version clauses without spaces, each once, sorted and comma-joined; null where one is malformed or there is none."""
+    clauses = F.filter(F.transform(F.split(text, ","), lambda c: F.regexp_replace(c, r"\s+", "")), lambda c: c != "")
+    return F.when((F.size(clauses) > 0) & F.forall(clauses, lambda c: c.rlike(_CLAUSE)), F.array_join(F.array_sort(F.array_distinct(clauses)), ","))
+
+
+def canonical_name(name: Column) -> Column:
+    """A distribution's name as indexes compare it."""
+    return F.lower(F.regexp_replace(name, "[-_.]+", "-"))
+
+
+def requirement_parts(text: Column) -> Column:
+    """struct(name, specifier, marker) of a dependency; null where it is malformed. specifier is null without version clauses, marker without a condition."""
+    raw = F.concat(F.regexp_extract(text, _REQUIREMENT, 3), F.regexp_extract(text, _REQUIREMENT, 4))
+    marker = F.nullif(F.trim(F.regexp_replace(F.replace(F.regexp_extract(text, _REQUIREMENT, 5), F.lit("'"), F.lit('"')), r"\s+", " ")), F.lit(""))
+    good = text.rlike(_REQUIREMENT) & ((F.trim(raw) == "") | version_specifier(raw).isNotNull())
+    return F.when(good, F.struct(canonical_name(F.regexp_extract(text, _REQUIREMENT, 1)).alias("name"), version_specifier(raw).alias("specifier"), marker.alias("marker")))

@@ -8,9 +8,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Python's str.strip() has it, for Java regular expressions.
+#: White space as Python's str.strip() has it: for Java regular expressions, the same without the line feed, and as a list.
 PYTHON_SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-_MARK = "\x1f"
+_IN_LINE = PYTHON_SPACE.replace(r"\s", r" \t\x0B\f\r")
+_SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: Control characters that texts don't have: between the sentences of a chunk, and between chunks.
+_MARK, _CUT = "\x01", "\x02"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -20,7 +23,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at either end, Unicode's included."""
-    return F.regexp_replace(text, f"^{PYTHON_SPACE}+|{PYTHON_SPACE}+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def word_count(text: Column) -> Column:
@@ -106,11 +109,39 @@ def file_names(raw: Column) -> Column:
     return F.when(F.ltrim(raw).startswith("["), F.from_json(raw, "array<string>")).when(raw.isNotNull(), F.array(raw))
 
 
+def _marked(text: Column) -> Column:
+    """A text with a mark between its sentences, in two passes over it."""
+    paragraphs = F.regexp_replace(strip(text), rf"\n(?:{_IN_LINE}*+\n)+{PYTHON_SPACE}*+", _MARK)
+    return F.regexp_replace(paragraphs, rf"""([.!?]++["')\]]*+){PYTHON_SPACE}++{_MARK}?+|{_IN_LINE}++{_MARK}""", f"$1{_MARK}")
+
+
 def sentences(text: Column) -> Column:
     """Sentences of all paragraphs in order: paragraphs end at blank lines, sentences after ., ! or ? (with closing quotes or brackets) and white space."""
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n+"), strip), lambda p: p != "")
-    cut = F.transform(paragraphs, lambda p: F.split(F.regexp_replace(p, r"""([.!?]+["')\]]*)\s+""", f"$1{_MARK}"), _MARK))
-    return F.flatten(cut)
+    return F.when(strip(text) != "", F.split(_marked(text), _MARK)).when(text.isNotNull(), F.array().cast("array<string>"))
+
+
+def chunk_pieces(text: Column, per_chunk: int, splitter: Callable[[Column], Column] | None = None) -> Column:
+    """A text's runs of per_chunk sentences as an array of strings with a mark between sentences; a text without any gives one empty string.
+
+    All is done by native string functions, whatever the number of sentences.
+    A splitter, which makes an array of sentences, may replace the built-in one.
+    """
+    marked = _marked(text) if splitter is None else F.array_join(splitter(text), _MARK)
+    if per_chunk == 1:
+        return F.split(marked, _MARK)
+    # Each match must begin where the last one ended: a rest of fewer sentences is looked at once.
+    group = rf"\G((?:[^{_MARK}]*+{_MARK}){{{per_chunk - 1}}}[^{_MARK}]*+){_MARK}"
+    return F.split(F.regexp_replace(marked, group, f"$1{_CUT}"), _CUT)
+
+
+def piece_text(piece: Column) -> Column:
+    """A piece as a text."""
+    return strip(F.translate(piece, _MARK, " "))
+
+
+def piece_sentences(piece: Column) -> Column:
+    """A piece's number of sentences."""
+    return F.length(piece) - F.length(F.replace(piece, F.lit(_MARK), F.lit(""))) + 1
 
 
 def greedy_distinct(vectors: Column, threshold: float) -> Column:

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import bundle_id, let, norm_path, sentences, source_id, strip, word_count
+from loomspark.functions.text import bundle_id, chunk_pieces, let, norm_path, piece_sentences, piece_text, source_id, strip, word_count
+from loomspark.operators.ordinals import with_ordinal
 from loomspark.schemas import CHUNK
 
 BOUNDARY = "\n\n--- Document Boundary ---\n\n"
 
 
-def chunks(text: Column, per_chunk: int = 5, doc_id: Column | None = None, doc_path: Column | None = None, offset: Column | int = 0, splitter: Callable[[Column], Column] = sentences) -> Column:
+def chunks(text: Column, per_chunk: int = 5, doc_id: Column | None = None, doc_path: Column | None = None, offset: Column | int = 0, splitter: Callable[[Column], Column] | None = None) -> Column:
     """An array of chunks of per_chunk sentences, with 1-based ids and running word offsets.
 
     splitter turns a text into an array of sentences and may be replaced.
@@ -24,10 +25,8 @@ def chunks(text: Column, per_chunk: int = 5, doc_id: Column | None = None, doc_p
     no_id = F.lit(None).cast("string")
     first = offset if isinstance(offset, Column) else F.lit(offset)
 
-    def built(found: Column) -> Column:
-        starts = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1, F.lit(per_chunk))).otherwise(F.array().cast("array<int>"))
-        pieces = F.transform(starts, lambda s: F.slice(found, s + 1, F.lit(per_chunk)))
-        texts = F.transform(pieces, lambda p: F.struct(strip(F.array_join(p, " ")).alias("text"), F.size(p).alias("sentences")))
+    def built(pieces: Column) -> Column:
+        texts = F.transform(pieces, lambda p: F.struct(piece_text(p).alias("text"), piece_sentences(p).alias("sentences")))
         return let(F.transform(texts, lambda p: F.struct(p["text"].alias("text"), p["sentences"].alias("sentences"), word_count(p["text"]).alias("words"))), placed)
 
     def placed(counted: Column) -> Column:
@@ -41,7 +40,8 @@ def chunks(text: Column, per_chunk: int = 5, doc_id: Column | None = None, doc_p
             (no_id if doc_id is None else doc_id).alias("doc_id"), (no_id if doc_path is None else doc_path).alias("doc_path"),
         ).cast(CHUNK)
 
-    return let(splitter(text), built)
+    some = let(chunk_pieces(text, per_chunk, splitter), built)
+    return F.when(strip(text) != "", some).when(text.isNotNull(), F.array().cast(f"array<{CHUNK}>"))
 
 
 def exploded_chunks(docs: DataFrame, key: str, text_col: str = "text", per_chunk: int = 5) -> DataFrame:
@@ -49,10 +49,10 @@ def exploded_chunks(docs: DataFrame, key: str, text_col: str = "text", per_chunk
 
     Word offsets come from a window over a document's own chunks.
     """
-    found = docs.select(key, sentences(F.col(text_col)).alias("s")).where(F.size("s") > 0)
-    parts = found.select(key, "s", F.explode(F.sequence(F.lit(0), F.size("s") - 1, F.lit(per_chunk))).alias("at"))
-    parts = parts.select(key, (F.floor(F.col("at") / per_chunk) + 1).cast("int").alias("doc_chunk_index"), F.slice("s", F.col("at") + 1, F.lit(per_chunk)).alias("p"))
-    parts = parts.select(key, "doc_chunk_index", strip(F.array_join("p", " ")).alias("text"), F.size("p").alias("sentence_count"))
+    # As an outer generator it isn't evaluated once more to filter out rows without chunks.
+    pieces = F.posexplode_outer(chunk_pieces(F.col(text_col), per_chunk)).alias("i", "p")
+    parts = docs.where(strip(F.col(text_col)) != "").select(key, pieces)
+    parts = parts.select(key, (F.col("i") + 1).alias("doc_chunk_index"), piece_text(F.col("p")).alias("text"), piece_sentences(F.col("p")).alias("sentence_count"))
     parts = parts.withColumn("word_count", word_count(F.col("text")))
     end = F.sum("word_count").over(W.partitionBy(key).orderBy("doc_chunk_index").rowsBetween(W.unboundedPreceding, 0)).cast("int")
     return parts.withColumn("end", end).withColumn("start", F.col("end") - F.col("word_count"))
@@ -125,8 +125,7 @@ def bundles(files: DataFrame, size: int = 2, most: int = 3, manifest: DataFrame
         known = known.groupBy("path").agg(F.min(F.struct("bundle", "pos")).alias("f")).select("f.bundle", "f.pos", "path")
         taken = known
         files = files.join(known, "path", "left_anti")
-    rank = F.row_number().over(W.orderBy("path")) - 1  # over paths only; a listing is as long as a directory
-    rest = files.withColumn("r", rank)
+    rest = with_ordinal(files, ["path"], "r")
     rest = rest.select(F.floor(F.col("r") / size).cast("long").alias("bundle"), (F.col("r") % size).cast("int").alias("pos"), "path", F.lit(1).alias("kind"))
     out = rest if taken is None else taken.select(F.col("bundle").cast("long"), F.col("pos").cast("int"), "path", F.lit(0).alias("kind")).union(rest)
     many = F.count("*").over(W.partitionBy("kind", "bundle"))

@@ -10,7 +10,7 @@ from loomspark.functions.text import corpus_id, record_identifier
 
 def chunk_rows(records: DataFrame) -> DataFrame:
     """(file_identifier, chunk_id, text, rec_ord, chunk_pos) of the chunks with an id and a text."""
-    keyed = records.select(record_identifier(F.col("source_id"), F.col("file_name")).alias("file_identifier"), "rec_ord", F.posexplode("chunks").alias("chunk_pos", "c"))
+    keyed = records.select(record_identifier(F.col("source_id"), F.col("file_name")).alias("file_identifier"), "rec_ord", F.posexplode_outer("chunks").alias("chunk_pos", "c"))
     return keyed.where((F.col("c.chunk_id").isNotNull()) & (F.coalesce("c.text", F.lit("")) != "")).select("file_identifier", F.col("c.chunk_id").alias("chunk_id"), F.col("c.text").alias("text"), "rec_ord", "chunk_pos")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.operators.ordinals import with_ordinal
-from loomspark.storage import written
+from loomspark.storage import released, written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -24,12 +24,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = labels.join(near, "a").select("a", F.least("l", "n").alias("l"), F.col("l").alias("was"))
         jump = labels.select(F.col("a").alias("l"), F.col("l").alias("j"))
         new = written(low.join(jump, "l", "left").select("a", F.least("l", F.coalesce("j", "l")).alias("l"), "was"), "labels")
-        labels = new.select("a", "l")
+        released(edges.sparkSession, labels)
+        labels = new
         if new.where("l <> was").isEmpty():
+            released(edges.sparkSession, both)
             return labels.select(F.col("a").alias("node"), F.col("l").alias("component"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def group_totals(groups: DataFrame) -> DataFrame:
+    """One row: the number of groups, of documents in them, and of members of the largest."""
+    sizes = groups.groupBy("group_id").agg(F.count("*").alias("n"))
+    return sizes.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("docs"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
+
+
 def merged_groups(groups: DataFrame) -> DataFrame:
     """(group_id, doc_id) of groups (group_id, doc_id) merged wherever they share a document.
 

@@ -69,26 +69,37 @@ def file_groups(groups: DataFrame, files: DataFrame) -> DataFrame:
     return best.select("file_name", F.when(F.col("b.n") > 1, clash).otherwise(F.col("b.group_id")).alias("group_id"))
 
 
+def greedy_parts(counts: list[tuple[int, int]], goals: dict[str, float]) -> list[tuple[int, int, int, str]]:
+    """(weight, first, number, split) for (weight, number of units) pairs, the heaviest first: units of a weight are counted from first, and each goes to the split that lacks most."""
+    sums, out = dict.fromkeys(goals, 0), []
+    for weight, n in sorted(counts, reverse=True):
+        for i in range(n):
+            best = max(goals, key=lambda s: goals[s] - sums[s])
+            sums[best] += weight
+            if out and out[-1][0] == weight and out[-1][3] == best:
+                out[-1] = (weight, out[-1][1], out[-1][2] + 1, best)
+            else:
+                out.append((weight, i, 1, best))
+    return out
+
+
 def greedy_split(units: DataFrame, train: float, val: float, seed: int) -> DataFrame:
     """(unit, split) of units (unit, weight): the heaviest first (of equals in hashed order), each to the split that lacks most; ties to train, then val.
 
-    What the fold holds is one row per unit; units are files or groups of
-    files. It stays on one task because each choice depends on those before.
+    Each choice depends on those before, so the driver makes them, from the
+    number of units of each weight; units get their places within a weight by a
+    distributed rank. The driver's time grows with the number of units, and what
+    it holds with the number of turns from one split to another.
     """
     _checked(train, val)
-    total = units.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
-    goals = {"train": total * train, "val": total * val, "test": total * (1.0 - train - val)}
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("m"), hashed(seed, F.col("unit")).alias("h"), "unit")))
-    start = F.struct(*[F.lit(0).cast("long").alias(s) for s in goals], F.array().cast("array<struct<unit:string,split:string>>").alias("done"))
-
-    def step(a, u):
-        lack = {s: F.lit(float(g)) - a[s] for s, g in goals.items()}
-        most = F.greatest(*lack.values())
-        best = F.when(lack["train"] == most, "train").when(lack["val"] == most, "val").otherwise("test")
-        sums = [(a[s] + F.when(best == s, -u["m"]).otherwise(F.lit(0))).cast("long").alias(s) for s in goals]
-        return F.struct(*sums, F.concat(a["done"], F.array(F.struct(u["unit"].alias("unit"), best.alias("split")))).alias("done"))
-
-    return units.agg(F.aggregate(ordered, start, step)["done"].alias("d")).select(F.inline("d"))
+    counts = [(r["weight"], r["n"]) for r in units.groupBy("weight").agg(F.count("*").alias("n")).collect()]  # as many rows as different weights
+    total = sum(w * n for w, n in counts)
+    parts = greedy_parts(counts, {"train": total * train, "val": total * val, "test": total * (1.0 - train - val)})
+    table = units.sparkSession.createDataFrame(parts, "w long, first long, n long, split string")
+    ranked = with_ordinal(units.select("unit", "weight", (-F.col("weight")).alias("_m"), hashed(seed, F.col("unit")).alias("_h")), ["_m", "_h", "unit"], "_r")
+    start = ranked.groupBy("weight").agg(F.min("_r").alias("before"))
+    ranked = ranked.join(start, "weight").withColumn("_i", F.col("_r") - F.col("before"))
+    return ranked.join(table, (F.col("weight") == F.col("w")) & (F.col("_i") >= F.col("first")) & (F.col("_i") < F.col("first") + F.col("n"))).select("unit", "split")
 
 
 def group_split(df: DataFrame, groups: DataFrame, train: float = 0.8, val: float = 0.1, seed: int = 42, key: str = "file_name") -> DataFrame:

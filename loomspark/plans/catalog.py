@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import code, text
 from loomspark.operators import chunking, corpus, curation, graph, ordinals, registry, splits
+from loomspark.plans.generate import evaluation_prompt, numbered_segments
 from loomspark.schemas import QA_EVALUATIONS, QA_PAIR
 from loomspark.shipping import ship
+from loomspark.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,7 +111,7 @@ def _bundle_files(spark, d):
 # --- scalar functions ------------------------------------------------------
 
 
-@query("fn01_norm_path", "SELECT doc_id, 'docs/' || source || '/' || doc_id || '.txt' AS path FROM documents")
+@query("fn01_norm_path", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace('docs//' || source || '\.\' || doc_id || '/../' || doc_id || '.txt', '\', '/'), '/+', '/', 'g'), '/\./', '/', 'g'), '[^/]+/\.\./', '', 'g') AS path FROM documents""")
 def _norm(spark, d):
     raw = F.concat(F.lit("docs//"), "source", F.lit("\\.\\"), F.col("doc_id").cast("string"), F.lit("/../"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return _t(spark, d, "documents").select("doc_id", text.norm_path(raw).alias("path"))
@@ -160,13 +162,19 @@ def _sha(spark, d):
     return _t(spark, d, "documents").select("doc_id", code.is_commit_sha(part).alias("is_sha"))
 
 
-@query("fn11_code_language", "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'rust' WHEN 2 THEN 'makefile' WHEN 3 THEN 'xyz' ELSE '' END AS lang FROM pages")
+_NAMES = ("src/a.PY", "b.rs", "deep/Makefile", "c.xyz", "LICENSE", "x/Dockerfile", "a.b/c.Tsx", ".bashrc", "dir.py/none", "k.kts", "h.HPP", "makefile", "t.tar.gz")
+
+
+@query("fn11_code_language", f"""WITH known(e, l) AS (VALUES {", ".join(map(str, code.LANGUAGES.items()))}), named(n, l) AS (VALUES {", ".join(map(str, code.LANGUAGES_BY_NAME.items()))}),
+p AS (SELECT page_id, ({list(_NAMES)})[page_id % {len(_NAMES)} + 1] AS path FROM pages), q AS (SELECT page_id, string_split(path, '/')[-1] AS base FROM p),
+s AS (SELECT *, lower(CASE WHEN strpos(substr(base, 2), '.') > 0 THEN '.' || string_split(base, '.')[-1] ELSE '' END) AS ext FROM q)
+SELECT page_id, coalesce(named.l, known.l, substr(ext, 2)) AS lang FROM s LEFT JOIN known ON e = ext LEFT JOIN named ON n = base""")
 def _language(spark, d):
-    names = F.array(*[F.lit(x) for x in ("src/a.PY", "b.rs", "deep/Makefile", "c.xyz", "LICENSE")])
-    return _t(spark, d, "pages").select("page_id", code.code_language(F.get(names, (F.col("page_id") % 5).cast("int"))).alias("lang"))
+    names = F.array(*[F.lit(x) for x in _NAMES])
+    return _t(spark, d, "pages").select("page_id", code.code_language(F.get(names, (F.col("page_id") % len(_NAMES)).cast("int"))).alias("lang"))
 
 
-@query("fn12_extension", "SELECT page_id, '.p' || page_id AS extension FROM pages")
+@query("fn12_extension", "SELECT page_id, CASE WHEN starts_with(r, '.') THEN r ELSE '.' || r END AS extension FROM (SELECT page_id, lower(trim(CASE WHEN page_id % 2 = 0 THEN ' P' ELSE '.P' END || page_id)) AS r FROM pages)")
 def _extension(spark, d):
     raw = F.concat(F.when(F.col("page_id") % 2 == 0, " P").otherwise(".P"), F.col("page_id").cast("string"))
     return _t(spark, d, "pages").select("page_id", code.normalize_extension(raw).alias("extension"))
@@ -189,11 +197,12 @@ def _kebab(spark, d):
     return _t(spark, d, "part").select("p_partkey", code.is_kebab(slug).alias("kebab"), code.underscored(slug).alias("underscored"))
 
 
-@query("fn24_owner_tokens", "SELECT s_suppkey, '@team' || s_suppkey || '/docs,@user' AS owners, true AS eligible FROM supplier")
+@query("fn24_owner_tokens", r"""WITH o AS (SELECT s_suppkey, list_distinct(regexp_extract_all(regexp_replace('# owners' || chr(10) || '*.py @team' || s_suppkey || '/docs  # all' || chr(10) || '/x @user @user' || chr(10), '#[^\n]*', '', 'g'), '\S*@\S*')) AS l FROM supplier)
+SELECT s_suppkey, array_to_string(list_sort(l), ',') AS owners, len(list_filter(l, lambda t: NOT regexp_matches(t, '^@[A-Za-z0-9][A-Za-z0-9-]*(/[A-Za-z0-9][A-Za-z0-9_-]*)?$'))) = 0 AS eligible FROM o""")
 def _owners(spark, d):
     raw = F.concat(F.lit("# owners\n*.py @team"), F.col("s_suppkey").cast("string"), F.lit("/docs  # all\n/x @user @user\n"))
     tokens = code.owner_tokens(raw)
-    return _t(spark, d, "supplier").select("s_suppkey", F.array_join(tokens, ",").alias("owners"), F.forall(tokens, code.is_release_owner).alias("eligible"))
+    return _t(spark, d, "supplier").select("s_suppkey", F.array_join(F.array_sort(tokens), ",").alias("owners"), F.forall(tokens, code.is_release_owner).alias("eligible"))
 
 
 @query("fn29_http_url", r"SELECT page_id, coalesce(regexp_matches(url, '^https?://[^/?#\s]+'), false) AS ok FROM pages")
@@ -224,10 +233,12 @@ def _lower(spark, d):
     return _t(spark, d, "documents").select("doc_id", text.text_transform(F.col("text"), "lower").alias("out"))
 
 
-@query("prj11_title")
+@query("prj11_title", """SELECT p_partkey, array_to_string(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN i = 1 OR NOT regexp_matches(s[i - 1], '[A-Za-z]') THEN upper(s[i]) ELSE lower(s[i]) END), '') AS out
+FROM (SELECT p_partkey, p_type || ' o''neil-' || p_brand || ' ' || p_size || 'nd' AS s FROM part)""")
 def _title(spark, d):
     ship(spark)
-    return _t(spark, d, "customer").select("c_custkey", text.text_transform(F.col("c_name"), "title").alias("out"))
+    words = F.concat("p_type", F.lit(" o'neil-"), "p_brand", F.lit(" "), F.col("p_size").cast("string"), F.lit("nd"))
+    return _t(spark, d, "part").select("p_partkey", text.text_transform(words, "title").alias("out"))
 
 
 @query("flt03_extensions", r"SELECT page_id, url FROM pages WHERE lower(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '([^/]*)$', 1)) LIKE '%_.html' OR NOT contains(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '([^/]*)$', 1), '.')")
@@ -244,7 +255,7 @@ def _globs(spark, d):
 
 
 def _records(spark, d):
-    """Conversations as records: user turns and the next assistant turns as pairs, labels as their scores, documents as chunks."""
+    """Documents as records: user turns and the next assistant turns of the conversation of that id as pairs, labels as their scores, text yet to be cut into chunks."""
     turns = _t(spark, d, "conversations")
     asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     told = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
@@ -256,11 +267,11 @@ def _records(spark, d):
     listed = pairs.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "pair"))), lambda x: x["pair"]).alias("deduplicated_qa_pairs"))  # of a conversation
     score = F.struct(F.lit(None).alias("relevance"), F.lit(None).alias("accuracy"), F.lit(None).alias("context_support"), F.lit(None).alias("clarity"), F.struct((F.col("quality") * 10.0).alias("score"), F.lit("").alias("assessment")).alias("overall"), F.lit("").alias("improvements"))
     labels = _t(spark, d, "labels").select(F.col("doc_id").alias("conv_id"), "quality")
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), chunking.chunks(F.col("text")).alias("chunks"))
-    out = listed.join(labels, "conv_id", "left").join(docs, "conv_id")
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), "text")
+    out = docs.join(listed, "conv_id", "left").join(labels, "conv_id", "left")
     evaluated = F.when(F.col("quality").isNotNull(), F.struct(F.transform("deduplicated_qa_pairs", lambda p: score).alias("evaluations")).cast(QA_EVALUATIONS))
     name = F.array(F.concat(F.lit("conv/"), F.col("conv_id").cast("string")))
-    return out.select("conv_id", name.alias("file_name"), F.lit("").alias("source_id"), F.col("conv_id").alias("rec_ord"), "chunks", F.struct(F.lit(None).cast(f"array<{QA_PAIR}>").alias("pairs")).alias("qa_generation"), "deduplicated_qa_pairs", evaluated.alias("qa_evaluations"))
+    return out.select("conv_id", name.alias("file_name"), F.lit("").alias("source_id"), F.col("conv_id").alias("rec_ord"), "text", F.struct(F.lit(None).cast(f"array<{QA_PAIR}>").alias("pairs")).alias("qa_generation"), "deduplicated_qa_pairs", evaluated.alias("qa_evaluations"))
 
 
 _PAIRS = """pairs AS (SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer, row_number() OVER (PARTITION BY u.conv_id ORDER BY u.turn) - 1 AS pair_pos, CASE WHEN u.turn % 3 = 0 THEN [1, 2] ELSE [1] END AS segs
@@ -268,7 +279,7 @@ _PAIRS = """pairs AS (SELECT u.conv_id, u.turn, u.text AS question, a.text AS an
 scored AS (SELECT p.*, quality * 10.0 AS score FROM pairs p JOIN labels l ON l.doc_id = p.conv_id)"""
 
 
-@query("flt01_integrity", f"WITH {_PAIRS} SELECT DISTINCT conv_id FROM scored")
+@query("flt01_integrity", f"WITH {_PAIRS} SELECT doc_id AS conv_id FROM documents WHERE doc_id NOT IN (SELECT conv_id FROM pairs WHERE conv_id NOT IN (SELECT doc_id FROM labels))")
 def _integrity(spark, d):
     return curation.consistent(_records(spark, d)).select("conv_id")
 
@@ -290,12 +301,17 @@ def _postprocess(spark, d):
     return queries.select("query_id", "text").join(named, "query_id")
 
 
-_CHUNKED = SENTENCES + """, rows AS (SELECT 'conv/' || doc_id AS file, doc_id, idx, text FROM ch WHERE text <> '' AND doc_id IN (SELECT conv_id FROM pairs))"""
+_CHUNKED = SENTENCES + """, rows AS (SELECT 'conv/' || doc_id AS file, doc_id, idx, text FROM ch WHERE text <> '')"""
+
+
+def _chunked(records):
+    return corpus.chunk_rows(records.withColumn("chunks", chunking.chunks(F.col("text"))))
+
 
 
 @query("agg01_corpus_first_seen", f"WITH {_PAIRS}, {_CHUNKED} SELECT 'd_' || substr(sha256(text), 1, 16) AS corpus_id, first_rec, first_pos::INTEGER AS first_pos FROM (SELECT text, doc_id AS first_rec, idx - 1 AS first_pos, row_number() OVER (PARTITION BY text ORDER BY doc_id, idx) AS r FROM rows) WHERE r = 1")
 def _corpus(spark, d):
-    return corpus.corpus_of(corpus.chunk_rows(_records(spark, d))).select("corpus_id", "first_rec", "first_pos")
+    return corpus.corpus_of(_chunked(_records(spark, d))).select("corpus_id", "first_rec", "first_pos")
 
 
 @query("agg02_last_wins", "SELECT source AS file_identifier, (doc_id % 50)::INTEGER AS chunk_id, arg_max(doc_id, doc_id) AS last_doc, md5(arg_max(text, doc_id)) AS md5 FROM documents WHERE text <> '' GROUP BY 1, 2")
@@ -315,9 +331,10 @@ whole AS (SELECT conv_id, pair_pos, string_agg(id, ',' ORDER BY pos) AS ids FROM
 
 
 def _positives(spark, d):
-    records = _records(spark, d)
+    records = _records(spark, d).withColumn("file_identifier", text.record_identifier(F.col("source_id"), F.col("file_name")))
     pairs = curation.scored_pairs(records).withColumn("file_identifier", text.record_identifier(F.col("source_id"), F.col("file_name")))
-    return corpus.with_positives(pairs, corpus.chunk_map(corpus.chunk_rows(records)))
+    asked = records.join(pairs.select("file_identifier").distinct(), "file_identifier", "left_semi")  # only their texts are cut into chunks
+    return corpus.with_positives(pairs, corpus.chunk_map(_chunked(asked)))
 
 
 @query("jon01_positive_docs", f"WITH {_POSITIVE} SELECT conv_id AS rec_ord, pair_pos::INTEGER AS pair_pos, ids AS pos_ids FROM whole")
@@ -348,7 +365,7 @@ def _range(spark, d):
 
 @query("lim01_num_files", "SELECT source || '/' || doc_id || '.txt' AS path FROM documents ORDER BY 1 LIMIT 25")
 def _num_files(spark, d):
-    return _t(spark, d, "documents").select(_path().alias("path")).orderBy("path").limit(25)
+    return files.first_by_path(_t(spark, d, "documents").select(_path().alias("path")), 25)
 
 
 @query("agg09_distribution", "SELECT lang, count(*)::BIGINT AS count, round(count(*) * 100.0 / (SELECT count(*) FROM documents), 6) AS percent FROM documents GROUP BY lang")
@@ -434,20 +451,23 @@ def _hash_split(spark, d):
     return splits.random_split(_t(spark, d, "documents").select("doc_id", "source"), key="source").select("doc_id", "split")
 
 
-@query("spl02_group_split", """WITH RECURSIVE u AS (SELECT source AS unit, count(*) AS w FROM documents GROUP BY source),
+_GREEDY = """WITH RECURSIVE u AS (SELECT {unit} AS unit, count(*) AS w FROM documents GROUP BY source),
 o AS (SELECT *, row_number() OVER (ORDER BY w DESC, md5('42|' || unit)) AS r, (SELECT count(*) FROM documents) AS t FROM u),
 g(r, a, b, c, s, unit) AS (
   SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, '', '' UNION ALL
   SELECT o.r, a + CASE WHEN n = 'train' THEN w ELSE 0 END, b + CASE WHEN n = 'val' THEN w ELSE 0 END, c + CASE WHEN n = 'test' THEN w ELSE 0 END, n, o.unit
   FROM (SELECT o.*, g.a, g.b, g.c, CASE WHEN t * 0.8::DOUBLE - a >= greatest(t * 0.1::DOUBLE - b, t * (1.0::DOUBLE - 0.8::DOUBLE - 0.1::DOUBLE) - c) THEN 'train' WHEN t * 0.1::DOUBLE - b >= t * (1.0::DOUBLE - 0.8::DOUBLE - 0.1::DOUBLE) - c THEN 'val' ELSE 'test' END AS n
         FROM g JOIN o ON o.r = g.r + 1) o)
-SELECT unit, s AS split FROM g WHERE r > 0""")
+"""
+
+
+@query("spl02_group_split", _GREEDY.format(unit="source") + "SELECT unit, s AS split FROM g WHERE r > 0")
 def _group_split(spark, d):
     units = _t(spark, d, "documents").groupBy(F.col("source").alias("unit")).agg(F.count("*").cast("long").alias("weight"))
     return splits.greedy_split(units, 0.8, 0.1, 42)
 
 
-@query("spl03_cluster_split")
+@query("spl03_cluster_split", _GREEDY.format(unit="'group|' || source") + "SELECT doc_id, s AS split FROM documents JOIN g ON g.unit = 'group|' || source")
 def _cluster_split(spark, d):
     docs = _t(spark, d, "documents").select(F.array(_path()).alias("file_name"), "doc_id", _path().alias("path"), "source")
     return splits.split(docs, "cluster", docs.select(F.col("source").alias("group_id"), F.col("path").alias("doc_id"))).select("doc_id", "split")
@@ -473,10 +493,18 @@ def _package_rows(spark, d):
     return registry.package_list_errors(rows)
 
 
-@query("srt03_package_order")
+# Versions in the order of PEP 440.
+VERSIONS = ("0.9.9", "1.0.dev3", "1.0a1", "1.0a2", "1.0b1.dev1", "1.0b1", "1.0rc1", "1.0", "1.0.post1", "1.2", "1.10", "2.0", "1!0.1")
+
+
+@query("srt03_package_order", f"""WITH v AS (SELECT unnest({list(VERSIONS)}) AS version, unnest(range(0, {len(VERSIONS)})) AS r),
+f AS (SELECT p_partkey, 'pkg' || p_partkey // 50, r, 'pkg' || p_partkey // 50 || '-' || version || '-py3-none-any.whl' AS filename FROM part JOIN v ON r = p_partkey % {len(VERSIONS)})
+SELECT p_partkey, filename, row_number() OVER (ORDER BY 'pkg' || p_partkey // 50, r, filename, p_partkey) - 1 AS place FROM f WHERE (p_partkey % 50) < {len(VERSIONS)}""")
 def _package_order(spark, d):
     ship(spark)
-    return registry.sorted_package_list(_packages(spark, d, "true"))
+    version = F.get(F.array(*[F.lit(v) for v in VERSIONS]), (F.col("p_partkey") % len(VERSIONS)).cast("int"))
+    name = F.concat(F.lit("pkg"), F.floor(F.col("p_partkey") / 50).cast("string"), F.lit("-"), version, F.lit("-py3-none-any.whl"))
+    return registry.placed_package_list(_t(spark, d, "part").where(F.col("p_partkey") % 50 < len(VERSIONS)).select("p_partkey", name.alias("filename")))
 
 
 @query("agg14_unique", "SELECT p_brand, count(*)::BIGINT AS count FROM part GROUP BY p_brand HAVING count(*) > 1")
@@ -498,7 +526,7 @@ def _missing(spark, d):
 @query("set05_register", "SELECT r_name AS package, r_regionkey AS version FROM region WHERE r_name <> 'ASIA' UNION ALL SELECT 'ASIA', 99")
 def _register(spark, d):
     have = _t(spark, d, "region").select(F.col("r_name").alias("package"), F.col("r_regionkey").alias("version"))
-    new = have.limit(1).select(F.lit("ASIA").alias("package"), F.lit(99).cast(have.schema["version"].dataType).alias("version"))
+    new = spark.range(1).select(F.lit("ASIA").alias("package"), F.lit(99).cast(have.schema["version"].dataType).alias("version"))
     return registry.registered(have, new, "ASIA", replace=True)
 
 
@@ -515,8 +543,17 @@ def _tree(spark, d):
 @query("gen06_prompt_render", f"WITH {SENTENCES} SELECT doc_id, md5('Segments:' || chr(10) || string_agg('Segment ' || idx || ': ' || text, chr(10) ORDER BY idx)) AS prompt_md5 FROM ch GROUP BY doc_id")
 def _prompt(spark, d):
     found = _t(spark, d, "documents").select("doc_id", chunking.chunks(F.col("text")).alias("chunks")).where("size(chunks) > 0")
-    lines = F.array_join(F.transform("chunks", lambda c: F.concat(F.lit("Segment "), c["chunk_id"].cast("string"), F.lit(": "), c["text"])), "\n")
-    return found.select("doc_id", F.md5(F.concat(F.lit("Segments:\n"), lines).cast("binary")).alias("prompt_md5"))
+    return found.select("doc_id", F.md5(F.concat(F.lit("Segments:\n"), numbered_segments()).cast("binary")).alias("prompt_md5"))
+
+
+@query("gen06_evaluation_prompt", f"""WITH {SENTENCES}, segments AS (SELECT doc_id, string_agg('Segment ' || idx || ': ' || text, chr(10) ORDER BY idx) AS s FROM ch GROUP BY doc_id)
+SELECT doc_id, md5('EVALUATIONS one for each question, in order, scores from 1 to 10. Answer in JSON.' || chr(10) || s || chr(10) || 'Question 1: Who is ' || source || '?' || chr(10) || 'Answer: ' || lang || chr(10) || 'Question 2: ' || chr(10) || 'Answer: none') AS prompt_md5
+FROM segments JOIN documents USING (doc_id) WHERE lang IS NOT NULL""")
+def _evaluation_prompt(spark, d):
+    one = F.struct(F.concat(F.lit("Who is "), "source", F.lit("?")).alias("question"), F.col("lang").alias("answer"))
+    two = F.struct(F.lit(None).cast("string").alias("question"), F.lit("none").alias("answer"))
+    found = _t(spark, d, "documents").withColumns({"chunks": chunking.chunks(F.col("text")), "deduplicated_qa_pairs": F.array(one, two)}).where("size(chunks) > 0 and lang is not null")
+    return found.select("doc_id", F.md5(evaluation_prompt().cast("binary")).alias("prompt_md5"))
 
 
 @query("gen_stub_pipeline")

@@ -11,12 +11,20 @@ from typing import Any
 
 from loomspark.schemas import QUERY_TYPES, REASONING_TYPES
 
-_SECRET = re.compile(r"^(?!.*_env$)(?:(?:.*_)?(?:access_token|api_key|password|refresh_token|secret)|apikey|authorization|proxy_authorization|token)$")
-#: Provider body fields that are shown, with their types.
+# Names of settings that hold credentials, and endings of such names; names that end in _env tell a variable and are shown.
+SECRET_NAMES = ("access_token", "api_key", "apikey", "authorization", "password", "proxy_authorization", "refresh_token", "secret", "token")
+SECRET_ENDINGS = ("_access_token", "_api_key", "_password", "_refresh_token", "_secret")
+# Provider body fields that are shown, with their types.
 _SHOWN_BODY = {"input_type": str, "truncate": str}
 REDACTED = "<redacted>"
 
 
+def is_secret(name: str) -> bool:
+    """Whether a setting of this name holds a credential."""
+    name = name.lower().replace("-", "_")
+    return not name.endswith("_env") and (name in SECRET_NAMES or name.endswith(SECRET_ENDINGS))
+
+
 def redacted(value: Any) -> Any:
     """A copy without credentials: secret keys, all header values, and unknown provider body fields."""
     if isinstance(value, list):
@@ -32,7 +40,7 @@ def redacted(value: Any) -> Any:
         elif key == "extra_body":
             out[key] = {k: x if k in _SHOWN_BODY and isinstance(x, _SHOWN_BODY[k]) else REDACTED for k, x in v.items()} if isinstance(v, dict) else REDACTED
         else:
-            out[key] = REDACTED if _SECRET.match(str(key).lower().replace("-", "_")) else redacted(v)
+            out[key] = REDACTED if is_secret(str(key)) else redacted(v)
     return out
 
 
@@ -88,6 +96,30 @@ class SeedConfig:
             raise ValueError("bundle_size is more than max_docs_per_bundle")
 
 
+@dataclass(frozen=True)
+class RepositoryConfig:
+    """What to read of git repositories."""
+
+    path: str | None = None
+    repository_paths: tuple[str, ...] = ()
+    repositories: tuple[str, ...] = ()
+    ref: str | None = None
+    include_extensions: tuple[str, ...] | None = None
+    include_file_names: tuple[str, ...] | None = None
+    exclude_patterns: tuple[str, ...] | None = None
+    max_file_size_bytes: int = 1_000_000
+    encoding: str = "utf-8"
+    clone_depth: int | None = 1
+    clone_timeout_seconds: int = 300
+
+    def __post_init__(self):
+        if not (self.path or self.repository_paths or self.repositories):
+            raise ValueError("a path or a repository is needed")
+        if self.max_file_size_bytes < 1 or self.clone_timeout_seconds < 1 or (self.clone_depth is not None and self.clone_depth < 1):
+            raise ValueError("a repository setting is out of range")
+        "".encode(self.encoding)
+
+
 @dataclass(frozen=True)
 class GenerationConfig:
     seed_source: SeedConfig = field(default_factory=SeedConfig)
@@ -97,12 +129,16 @@ class GenerationConfig:
     resume: str = "never"
     pipeline: PipelineConfig = field(default_factory=PipelineConfig)
     num_records: int | None = None
+    start_index: int = 0
+    end_index: int | None = None
 
     def __post_init__(self):
+        if self.start_index < 0 or (self.end_index is not None and self.end_index < self.start_index):
+            raise ValueError("start_index and end_index are no range")
         if self.buffer_size < 1 or self.resume not in ("never", "always", "if_possible"):
             raise ValueError("buffer_size or resume is out of range")
-        if self.dataset_name is not None and not re.fullmatch(r"[A-Za-z0-9_][A-Za-z0-9_.-]*", self.dataset_name):
-            raise ValueError("dataset_name must be one plain path step")
+        if self.dataset_name is not None and (self.dataset_name in ("", ".", "..") or re.search(r"[/\\\x00-\x1f\x7f]", self.dataset_name)):
+            raise ValueError("dataset_name must be one path step")
 
 
 @dataclass(frozen=True)
@@ -179,5 +215,33 @@ def environment_value(text: str) -> str:
     return os.environ[m[1]]
 
 
+def with_environment(values: Any) -> tuple[Any, list[str]]:
+    """A copy of values with what each exact ${NAME} stands for, and the names used; provenance keeps those."""
+    if isinstance(values, dict):
+        pairs = {k: with_environment(v) for k, v in values.items()}
+        return {k: v for k, (v, _) in pairs.items()}, sorted({n for _, names in pairs.values() for n in names})
+    if isinstance(values, list):
+        found = [with_environment(v) for v in values]
+        return [v for v, _ in found], sorted({n for _, names in found for n in names})
+    if isinstance(values, str) and (new := environment_value(values)) != values:
+        return new, [values[2:-1]]
+    return values, []
+
+
+def producer_version() -> str:
+    """The installed package's version; 0+unknown where it is run from its sources."""
+    from importlib.metadata import PackageNotFoundError, version
+
+    try:
+        return version("loomspark")
+    except PackageNotFoundError:
+        return "0+unknown"
+
+
+def is_under(path: str, root: str) -> bool:
+    """Whether a path, links followed, is within root."""
+    return Path(path).resolve().is_relative_to(Path(root).resolve())
+
+
 def as_mapping(config: Any) -> dict:
     return asdict(config)

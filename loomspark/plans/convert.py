@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -10,13 +11,18 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.text import record_identifier
 from loomspark.operators.corpus import chunk_map, chunk_rows, corpus_of, with_positives
-from loomspark.operators.curation import retention, scored_pairs
+from loomspark.operators.curation import retention, scored_pairs, skipped
 from loomspark.operators.ordinals import with_ordinal
 from loomspark.operators.splits import split
-from loomspark.plans.config import ConversionConfig, as_mapping
+from loomspark.plans.config import ConversionConfig, as_mapping, producer_version
 from loomspark.plans.export import write_corpus, write_evaluation_set, write_provenance, write_training_set
 from loomspark.sources.records import load_groups, load_records
-from loomspark.storage import written
+from loomspark.storage import releasing, written
+
+log = logging.getLogger(__name__)
+
+#: Skipped files that are named in the log at most.
+SHOWN = 20
 
 
 @dataclass(frozen=True)
@@ -40,6 +46,11 @@ def convert(spark: SparkSession, config: ConversionConfig) -> Conversion:
     evaluation set has the whole corpus and the test pairs, or with eval_only
     all pairs.
     """
+    with releasing(spark):
+        return _converted(spark, config)
+
+
+def _converted(spark: SparkSession, config: ConversionConfig) -> Conversion:
     folder = config.folder()
     records = written(load_records(spark, config.input_path), "records")
     rows = chunk_rows(records)
@@ -64,5 +75,7 @@ def convert(spark: SparkSession, config: ConversionConfig) -> Conversion:
     write_evaluation_set(queries, corpus, folder / "eval_beir", config.use_group_id_in_eval)
     totals = retention(records, config.quality_threshold).first().asDict()
     out = Conversion(folder, counts["train"], counts["val"], queries.count(), corpus.count())
-    write_provenance(folder / ".run", as_mapping(config), totals | {"train": out.train, "val": out.val, "eval": out.eval, "corpus": out.corpus})
+    names = [r["file_name"] for r in skipped(records).select(F.to_json("file_name").alias("file_name")).limit(SHOWN).collect()]
+    log.info("%s: %s pairs, %s kept (%.1f %%), %s files skipped%s; train %s, val %s, eval %s, corpus %s", folder, totals["total"], totals["remaining"], totals["retention"], totals["skipped_files"], f", such as {names}" if names else "", out.train, out.val, out.eval, out.corpus)
+    write_provenance(folder / ".run", as_mapping(config), totals | {"producer": producer_version(), "train": out.train, "val": out.val, "eval": out.eval, "corpus": out.corpus})
     return out

@@ -8,7 +8,7 @@ import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,12 +31,17 @@ def _lines(df: DataFrame) -> Iterator[str]:
         yield row[0] + "\n"
 
 
-def write_training_set(rows: DataFrame, path: Path, corpus: str, corpus_path: str) -> int:
-    """train.json or val.json: one document, its data streamed; rows has ordinal, question and pos_ids."""
-    item = F.to_json(F.struct(
+def training_item(corpus: str) -> Column:
+    """A training example as JSON, of ordinal, question and pos_ids."""
+    return F.to_json(F.struct(
         F.concat(F.lit("q"), F.col("ordinal").cast("string")).alias("question_id"), "question", F.lit(corpus).alias("corpus_id"),
         F.transform("pos_ids", lambda x: F.struct(x.alias("id"))).alias("pos_doc"), F.array().cast("array<string>").alias("neg_doc"),
     ))
+
+
+def write_training_set(rows: DataFrame, path: Path, corpus: str, corpus_path: str) -> int:
+    """train.json or val.json: one document, its data streamed; rows has ordinal, question and pos_ids."""
+    item = training_item(corpus)
     n = 0
 
     def pieces() -> Iterator[str]:

@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import greedy_distinct, text_transform
-from loomspark.plans.config import GenerationConfig, PipelineConfig, as_mapping
+from loomspark.operators.ordinals import with_ordinal
+from loomspark.plans.config import GenerationConfig, PipelineConfig, as_mapping, producer_version
 from loomspark.plans.export import write_provenance
 from loomspark.schemas import ARTIFACT_KINDS, DOCUMENT_ARTIFACTS, QA_EVALUATIONS, QA_GENERATION, QA_PAIR
 from loomspark.shipping import map_arrow
-from loomspark.sources.files import seed_documents
+from loomspark.sources.files import count_seeds, seed_documents
 
 
 class ModelClient(Protocol):
@@ -153,8 +154,27 @@ class TextTransform:
         return out.drop(self.name) if self.drop else out
 
 
-def run_columns(df: DataFrame, columns: list, client: ModelClient | None = None, processors: list[Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Buffered:
+    """A client that is given so many prompts or texts at once at most."""
+
+    client: ModelClient
+    size: int
+
+    def _parts(self, ask: Callable[[list], list], items: list) -> list:
+        return [x for a in range(0, len(items), self.size) for x in ask(items[a : a + self.size])]
+
+    def complete(self, prompts: list[str]) -> list[str]:
+        return self._parts(self.client.complete, prompts)
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return self._parts(self.client.embed, texts)
+
+
+def run_columns(df: DataFrame, columns: list, client: ModelClient | None = None, buffer_size: int | None = None, processors: list[Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
     """df with all columns, each once those it needs are there; a need that nothing gives is an error."""
+    if client is not None and buffer_size:
+        client = Buffered(client, buffer_size)
     waiting = list(columns)
     while waiting:
         ready = [c for c in waiting if set(c.required_columns()) <= set(df.columns)]
@@ -173,6 +193,11 @@ def artifacts_prompt(config: PipelineConfig) -> Column:
     return F.concat(F.lit(head + "\n"), F.col("text"))
 
 
+def numbered_segments(chunks: str = "chunks") -> Column:
+    """A record's chunks as lines of a prompt."""
+    return F.array_join(F.transform(chunks, lambda c: F.concat(F.lit("Segment "), c["chunk_id"].cast("string"), F.lit(": "), c["text"])), "\n")
+
+
 def pairs_prompt(config: PipelineConfig) -> Column:
     kinds = ", ".join(f"{n} {k}" for k, n in config.query_counts.items())
     ways = ", ".join(f"{n} {k}" for k, n in config.reasoning_counts.items())
@@ -182,8 +207,7 @@ def pairs_prompt(config: PipelineConfig) -> Column:
 
 def evaluation_prompt() -> Column:
     pairs = F.array_join(F.transform("deduplicated_qa_pairs", lambda p, i: F.concat(F.lit("\nQuestion "), (i + 1).cast("string"), F.lit(": "), F.coalesce(p["question"], F.lit("")), F.lit("\nAnswer: "), F.coalesce(p["answer"], F.lit("")))), "")
-    segments = F.array_join(F.transform("chunks", lambda c: F.concat(F.lit("Segment "), c["chunk_id"].cast("string"), F.lit(": "), c["text"])), "\n")
-    return F.concat(F.lit("EVALUATIONS one for each question, in order, scores from 1 to 10. Answer in JSON.\n"), segments, pairs)
+    return F.concat(F.lit("EVALUATIONS one for each question, in order, scores from 1 to 10. Answer in JSON.\n"), numbered_segments(), pairs)
 
 
 def question_columns(config: PipelineConfig) -> list:
@@ -210,7 +234,26 @@ def seeds(spark: SparkSession, config: GenerationConfig) -> DataFrame:
         spark, s.path, extensions=list(s.file_extensions) if s.file_extensions else None, num_files=s.num_files, min_length=s.min_text_length, per_chunk=s.sentences_per_chunk,
         n_sections=s.num_sections, strategy=s.bundle_strategy, multi_doc=s.multi_doc, bundle_size=s.bundle_size, max_docs=s.max_docs_per_bundle, manifest=s.manifest,
     )
-    return found.orderBy("file_name").limit(config.num_records) if config.num_records else found
+    chosen = found
+    if config.start_index or config.end_index is not None:
+        last = F.lit(True) if config.end_index is None else F.col("_n") <= config.end_index
+        chosen = with_ordinal(found, ["file_name"], "_n").where((F.col("_n") >= config.start_index) & last).drop("_n")
+    return chosen.orderBy("file_name").limit(config.num_records) if config.num_records else chosen
+
+
+def check_amount(spark: SparkSession, config: GenerationConfig) -> int:
+    """The number of records to be made; asking for more than there are seeds is an error."""
+    s = config.seed_source
+    there = count_seeds(spark, s.path, extensions=list(s.file_extensions) if s.file_extensions else None, num_files=s.num_files, multi_doc=s.multi_doc, bundle_size=s.bundle_size, max_docs=s.max_docs_per_bundle, manifest=s.manifest)
+    if (config.num_records or 0) > there:
+        raise ValueError(f"num_records is {config.num_records}; there are {there} seeds")
+    return config.num_records or there
+
+
+def dedup_outcome(records: DataFrame, source: str = "qa_generation.pairs", kept: str = "deduplicated_qa_pairs") -> DataFrame:
+    """One row: items that near-duplicate removal has kept and removed."""
+    sizes = records.select(F.coalesce(F.size(source), F.lit(0)).alias("a"), F.coalesce(F.size(kept), F.lit(0)).alias("b"))
+    return sizes.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("kept"), F.coalesce(F.sum(F.col("a") - F.col("b")), F.lit(0)).alias("removed"))
 
 
 def preview(spark: SparkSession, config: GenerationConfig, client: ModelClient, n: int = 3) -> DataFrame:
@@ -221,11 +264,11 @@ def preview(spark: SparkSession, config: GenerationConfig, client: ModelClient,
 def generate(spark: SparkSession, config: GenerationConfig, client: ModelClient) -> Generation:
     """Run the pipeline over all seeds and store records as JSON lines.
 
-    With resume, seeds whose source_id has been stored are left out. Model
-    columns are stored stage by stage in the run's folder before they are
-    filtered, so that retries don't call the model again for stored parts.
+    With resume, seeds whose source_id has been stored are left out. No file
+    has more than buffer_size records, and no model call more of their prompts.
     """
     path = Path(config.output_dir) / (config.dataset_name or "retrieval_sdg")
+    check_amount(spark, config)
     todo, done = seeds(spark, config), 0
     exists = path.exists() and any(path.glob("*.json"))
     if exists and config.resume == "never":
@@ -236,7 +279,7 @@ def generate(spark: SparkSession, config: GenerationConfig, client: ModelClient)
         todo = todo.join(stored, "source_id", "left_anti")
     elif config.resume == "always":
         raise FileNotFoundError(f"{path} has nothing to resume")
-    run_columns(todo, question_columns(config.pipeline), client).write.mode("append").json(str(path))
+    run_columns(todo, question_columns(config.pipeline), client, config.buffer_size).write.mode("append").option("maxRecordsPerFile", config.buffer_size).json(str(path))
     total = spark.read.schema("source_id string").json(str(path)).count()
-    write_provenance(Path(config.output_dir) / ".runs" / path.name, as_mapping(config), {"records": total, "resumed": done})
+    write_provenance(Path(config.output_dir) / ".runs" / path.name, as_mapping(config), {"records": total, "resumed": done, "producer": producer_version()})
     return Generation(path, total, done)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from loomspark.functions.text import file_names, norm_path
 from loomspark.operators.curation import consistent
 from loomspark.operators.ordinals import with_ordinal
+from loomspark.operators.registry import package_row_errors, sorted_package_list
 from loomspark.schemas import CATALOG, PACKAGE_LIST, RECORD
+from loomspark.shipping import ship
 
 _FORMATS = {".json": "json", ".jsonl": "jsonl", ".parquet": "parquet"}
 
@@ -64,8 +66,10 @@ def load_groups(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(group_id, doc_id, pos) of duplicate-group files: kinds exact, fuzzy and semantic, each with groups or clusters; a later group of one id overwrites."""
     one = "struct<groups:map<string,array<string>>,clusters:map<string,array<string>>>"
     raw = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("f"), F.from_json("value", f"exact {one}, fuzzy {one}, semantic {one}").alias("g"))
-    order = F.create_map(*[F.lit(x) for i, p in enumerate(paths) for x in (Path(p).name, i)])
-    raw = raw.withColumn("n", F.try_element_at(order, F.regexp_extract("f", r"([^/]*)$", 1)))
+    order = F.lit(None).cast("int")
+    for i, p in enumerate(paths):  # by the whole path, as files in different folders may share a name
+        order = F.when(F.col("f").endswith(("/" + str(Path(p).resolve()).lstrip("/")) if "://" not in p else p), i).otherwise(order)
+    raw = raw.withColumn("n", order)
     kinds = F.array(*[F.coalesce(f"g.{k}.groups", f"g.{k}.clusters") for k in ("exact", "fuzzy", "semantic")])
     each = raw.select("n", F.posexplode(kinds).alias("k", "m")).where("m is not null").select("n", "k", F.explode("m").alias("group_id", "docs"))
     last = each.groupBy("group_id").agg(F.max_by("docs", F.struct("n", "k")).alias("docs"))
@@ -94,10 +98,21 @@ def load_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_package_list(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a package list; a file that doesn't exist has none."""
+    """Rows of a package list, in the order of package, version and file name; a file that doesn't exist has none.
+
+    A line that is no JSON object, or breaks a rule of package lists, is an
+    error that names the path and the line, raised when it is read.
+    """
     if "://" not in path and not Path(path).exists():
         return spark.createDataFrame([], PACKAGE_LIST)
-    return spark.read.schema(PACKAGE_LIST).json(path)
+    lines = with_ordinal(spark.read.text(path).withColumn("_i", F.monotonically_increasing_id()), ["_i"], "n")
+    lines = lines.where(F.trim("value") != "").withColumn("r", F.from_json("value", PACKAGE_LIST + ", _corrupt_record string"))
+    broken = F.when(F.col("r").isNull() | F.col("r._corrupt_record").isNotNull() | ~F.ltrim("value").startswith("{"), F.lit("is not a JSON object"))
+    wrong = F.coalesce(broken, F.array_join(package_row_errors("r.filename", "r.hash", "r.requires_python"), ", "))
+    text = F.concat(F.lit(f"{path}:"), (F.col("n") + 1).cast("string"), F.lit(" "), wrong)
+    name = F.when(wrong != "", F.raise_error(text).cast("string")).otherwise(F.col("r.filename"))
+    ship(spark)
+    return sorted_package_list(lines.select(name.alias("filename"), F.col("r.hash").alias("hash"), F.col("r.requires_python").alias("requires_python")))
 
 
 def distributions(spark: SparkSession, folder: str) -> DataFrame:

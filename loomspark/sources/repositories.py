@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 import re
+import shutil
 import subprocess
-import tempfile
+import uuid
 from dataclasses import dataclass
 from pathlib import Path
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.functions.code import LANGUAGES, LANGUAGES_BY_NAME, code_language, matches_any_glob
+from loomspark.functions.code import DEFAULT_EXCLUDES, LANGUAGES, LANGUAGES_BY_NAME, REPOSITORY, code_language, glob_to_regex, matches_any_glob
 from loomspark.functions.text import base_name, suffix
+from loomspark.storage import shared_folder
 
 COLUMNS = ("repo_id", "repo_url", "commit_sha", "source_kind", "repository_path", "source_path", "relative_path", "file_name", "file_extension", "code_lang", "size_bytes", "content_sha256", "content")
 
 
+_CLONES: dict[str, list[str]] = {}
+
+
 class RepositoryError(RuntimeError):
     """A repository can't be read."""
 
@@ -50,8 +56,13 @@ def _ask(root: str, *args: str) -> str | None:
 
 def github_name(spec: str) -> str:
     """owner/name of a short name or a github.com address."""
-    name = re.sub(r"^(https?://(www\.)?github\.com/|git@github\.com:)", "", spec.strip()).rstrip("/").removesuffix(".git")
-    if not re.fullmatch(r"[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+", name):
+    spec = spec.strip()
+    parts = urlsplit(spec)
+    if parts.scheme in ("http", "https"):
+        name = parts.path.strip("/").removesuffix(".git") if parts.netloc.lower() == "github.com" else ""
+    else:
+        name = spec.removeprefix("git@github.com:").removesuffix(".git").strip("/")
+    if not re.match(REPOSITORY, name):
         raise ValueError(f"not a GitHub repository: {spec}")
     return name
 
@@ -93,6 +104,18 @@ def cloned(spec: str, folder: str, ref: str | None = None, depth: int | None = 1
     return Repository(name, url, root, "github", _ask(root, "rev-parse", "HEAD"))
 
 
+def remove_clones(spark: SparkSession) -> None:
+    """Delete the clones of this application, when what was read from them has been stored."""
+    for folder in _CLONES.pop(spark.sparkContext.applicationId, []):
+        shutil.rmtree(folder, ignore_errors=True)
+
+
+def creation_year(root: str, path: str) -> int | None:
+    """The year of a file's first commit; null if it has none."""
+    dates = _ask(root, "log", "--diff-filter=A", "--follow", "--format=%as", "--", path)
+    return int(dates.splitlines()[-1][:4]) if dates else None
+
+
 def code_files(
     spark: SparkSession,
     parent: str | None = None,
@@ -101,14 +124,23 @@ def code_files(
     *,
     extensions: list[str] | None = sorted(LANGUAGES),
     file_names: list[str] | None = None,
+    pattern: str | None = None,
     exclude: list[str] | None = None,
     max_bytes: int = 1_000_000,
     encoding: str = "utf-8",
     ref: str | None = None,
     depth: int | None = 1,
 ) -> DataFrame:
-    """A row with COLUMNS for each file of the repositories that is wanted; contents are read only for those."""
-    folder = tempfile.mkdtemp(prefix="loomspark-clones-") if repositories else ""
+    """A row with COLUMNS for each file of the repositories that is wanted, by default without DEFAULT_EXCLUDES; contents are read only for those.
+
+    pattern is a glob for paths within a repository. Clones are made in the
+    folder that driver and executors share, where remove_clones finds them.
+    """
+    folder = f"{shared_folder(spark)}/clones-{uuid.uuid4().hex}" if repositories else ""
+    exclude = DEFAULT_EXCLUDES if exclude is None else exclude
+    if folder:
+        Path(folder).mkdir(parents=True)
+        _CLONES.setdefault(spark.sparkContext.applicationId, []).append(folder)
     roots = local_repositories(parent, paths) + [cloned(r, folder, ref, depth) for r in repositories or []]
     if not roots:
         raise RepositoryError("there is no repository")
@@ -121,7 +153,9 @@ def code_files(
         name = base_name(F.col("relative_path"))
         wanted = name.isin(names) if names else F.lit(False)
         wanted = wanted | (suffix(name).isin([e.lower() for e in extensions]) if extensions is not None else F.lit(True))
-        kept = files.where((F.col("length") <= max_bytes) & wanted & ~F.col("relative_path").startswith(".git/") & ~matches_any_glob(F.col("relative_path"), exclude or []))
+        kept = files.where((F.col("length") <= max_bytes) & wanted & ~F.col("relative_path").startswith(".git/") & ~matches_any_glob(F.col("relative_path"), exclude))
+        if pattern is not None:
+            kept = kept.where(F.col("relative_path").rlike(glob_to_regex(pattern)))
         one = kept.select(
             F.lit(r.repo_id).alias("repo_id"), F.lit(r.repo_url).cast("string").alias("repo_url"), F.lit(r.commit_sha).cast("string").alias("commit_sha"), F.lit(r.source_kind).alias("source_kind"),
             F.lit(r.root).alias("repository_path"), "source_path", "relative_path", name.alias("file_name"), suffix(name).alias("file_extension"), code_language(F.col("relative_path")).alias("code_lang"),

@@ -8,16 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loomspark.functions.text import corpus_id, sentences, strip
+from loomspark.functions.text import chunk_pieces, corpus_id, piece_text, strip
 
 
 def chunk_stream(spark: SparkSession, folder: str, per_chunk: int = 5, files_per_batch: int = 200) -> DataFrame:
     """A stream of (path, doc_chunk_index, text, corpus_id, arrived) over a folder's text files, files_per_batch at a time."""
     raw = spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", files_per_batch).load(folder)
-    found = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("arrived"), sentences(F.col("value")).alias("s")).where(F.size("s") > 0)
-    parts = found.select("path", "arrived", "s", F.explode(F.sequence(F.lit(0), F.size("s") - 1, F.lit(per_chunk))).alias("at"))
-    text = strip(F.array_join(F.slice("s", F.col("at") + 1, F.lit(per_chunk)), " "))
-    return parts.select("path", "arrived", (F.floor(F.col("at") / per_chunk) + 1).cast("int").alias("doc_chunk_index"), text.alias("text")).withColumn("corpus_id", corpus_id(F.col("text")))
+    found = raw.where(strip(F.col("value")) != "").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("arrived"), F.posexplode_outer(chunk_pieces(F.col("value"), per_chunk)).alias("i", "p"))
+    return found.select("path", "arrived", (F.col("i") + 1).alias("doc_chunk_index"), piece_text(F.col("p")).alias("text")).withColumn("corpus_id", corpus_id(F.col("text")))
 
 
 def distinct_chunks(stream: DataFrame, late: str = "1 day") -> DataFrame:

@@ -63,7 +63,7 @@ def test_greedy_distinct(spark):
 
 def test_code_functions(spark):
     assert values(spark, ["a/b.git", "https://github.com/x/y.git", "https://gitlab.com/x/y", "git@github.com:o/n"], code.github_repository(F.col("x"))) == ["a/b", "x/y", None, "o/n"]
-    assert values(spark, ["1.2.3", "1.2.3rc1", "01.2.3"], code.bump_semver(F.col("x"), "minor")) == ["1.3.0", None, None]
+    assert values(spark, ["1.2.3", "1.2.3rc1", "01.2.3"], code.bump_semver(F.col("x"), "minor")) == ["1.3.0", None, "1.3.0"]
     assert values(spark, ["a/b/c.py", "x.py", "[.py"], F.col("x").rlike(code.glob_to_regex("a*.py"))) == [True, False, False]
     assert values(spark, ["My Plugin!!", "--"], code.docs_slug(F.col("x"))) == ["my-plugin", "plugin"]
     assert values(spark, ["# T #\n", "no"], code.markdown_title(F.lit("some-dir/my_page.md"), F.col("x"))) == ["T", "Some Dir / My Page"]
