@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import wordhash as wh
-from loomspark.llm.common import discard, materialize, pieces, small_enough
+from loomspark.llm.common import by_place, discard, materialize, pieces, small_enough
 from loomspark.llm.components import connected_components
 from loomspark.shipping import map_arrow
 
 SAMPLES, BANDS, ROWS, SKETCH_BITS = 256, 25, 5, 1024
-#: Candidates whose estimated similarity is this far below the threshold are given up: over three standard errors.
-MARGIN = 0.1
+#: Candidates whose estimated similarity is this far below the threshold are given up: over four standard errors, one pair at the threshold in 100,000.
+MARGIN = 0.12
 #: At most so many ids are broadcast to fetch candidates' texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Links tried for a document of a divided bucket before all its remaining candidates are.
@@ -102,8 +102,23 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(values.ravel())))
 
 
+def _identities(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit identity of each set, in two halves; 0 for an empty one."""
+    out = []
+    for mixed in (wh.mix64(hashes + np.uint64(0x632BE59BD9B4E019)), wh.mix64(hashes ^ np.uint64(0xE220A8397B1DCDAF))):
+        sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+        np.cumsum(mixed, out=sums[1:])
+        out.append(sums[bounds[1:]] - sums[bounds[:-1]])
+    return out[0], out[1]
+
+
+def text_key(text: Column) -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, n, hi, lo, sketch, whole, bands) of each row; sketch is the odd sketch, whole the set's own bitmap; hi and lo identify the set, and all but id and n are null for an empty one."""
+    """(id, t, n, hi, lo, sketch, whole, bands) of each row; t is a hash of the text, sketch is the odd sketch, whole the set's own bitmap; hi and lo identify the set, and those after n are empty for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
@@ -114,35 +129,34 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
                 full = np.flatnonzero(n)
                 kept = np.concatenate([[0], np.cumsum(n[full])])
                 samples = minhash(hashes, kept)
-                prefix = np.zeros(len(hashes) + 1, dtype=np.uint64), np.zeros(len(hashes) + 1, dtype=np.uint64)
-                np.cumsum(wh.mix64(hashes + np.uint64(0x632BE59BD9B4E019)), out=prefix[0][1:])
-                np.cumsum(wh.mix64(hashes ^ np.uint64(0xE220A8397B1DCDAF)), out=prefix[1][1:])
-                hi, lo = (np.zeros(len(n), dtype=np.uint64) for _ in range(2))
-                for to, sums in ((hi, prefix[0]), (lo, prefix[1])):
-                    to[full] = sums[kept[1:]] - sums[kept[:-1]]
+                hi, lo = _identities(hashes, bounds)
                 lengths = np.zeros(len(n), dtype=np.int64)
                 lengths[full] = 1
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("id"), pa.array(n), pa.array(_signed(hi)), pa.array(_signed(lo)), _lists(odd_sketch(samples), lengths * (SKETCH_BITS // 64)), _lists(parity(hashes, kept), lengths * (SKETCH_BITS // 64)), _lists(bands(samples), lengths * BANDS)],
-                    names=["id", "n", "hi", "lo", "sketch", "whole", "bands"],
+                    [piece.column("id"), piece.column("t"), pa.array(n), pa.array(_signed(hi)), pa.array(_signed(lo)), _lists(odd_sketch(samples), lengths * (SKETCH_BITS // 64)), _lists(parity(hashes, kept), lengths * (SKETCH_BITS // 64)), _lists(bands(samples), lengths * BANDS)],
+                    names=["id", "t", "n", "hi", "lo", "sketch", "whole", "bands"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, run, "id long, n long, hi long, lo long, sketch array<long>, whole array<long>, bands array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), text_key(F.col(text_col)).alias("t"))
+    return map_arrow(rows, run, "id long, t long, n long, hi long, lo long, sketch array<long>, whole array<long>, bands array<long>")
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(node, items): the sorted shingle hashes of the documents named in ids (node)."""
+def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(node, items): the sorted shingle hashes of the classes in wanted (id, hi, lo, node), read from the texts of id that have this set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
             for piece in pieces(batch, "text"):
                 hashes, bounds = _sets(piece.column("text"), k)
-                yield pa.RecordBatch.from_arrays([piece.column("node"), _lists(hashes, np.diff(bounds))], names=["node", "items"])
+                own = [_signed(x) == np.asarray(piece.column(c)) for x, c in zip(_identities(hashes, bounds), ("hi", "lo"))]
+                same = own[0] & own[1]
+                n = np.diff(bounds)
+                yield pa.RecordBatch.from_arrays([piece.column("node").filter(pa.array(same)), _lists(hashes[np.repeat(same, n)], n[same])], names=["node", "items"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows.join(small_enough(ids, BROADCAST_IDS), "node", "left_semi"), run, "node long, items array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.join(small_enough(wanted, BROADCAST_IDS), "id").select("node", "hi", "lo", "text")
+    return map_arrow(rows, run, "node long, items array<long>")
 
 
 def _far(a: Column, b: Column) -> Column:
@@ -153,9 +167,10 @@ def _far(a: Column, b: Column) -> Column:
     return total
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
-    ids = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "ids")
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes (node, id, hi, lo) with 100 * intersection >= percent * union of their full shingle sets."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    ids = materialize(classes.select("id", "hi", "lo", "node").join(nodes, "node", "left_semi").select("id", "hi", "lo", "node"), "ids")
     sets = materialize(_full_sets(docs, ids, id_col, text_col, k).dropDuplicates(["node"]), "sets")
     left, right = (sets.select(F.col("node").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
     shared = F.size(F.array_intersect("a_items", "b_items")).cast("long")
@@ -165,36 +180,21 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: in
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: (id_col, n_shingles, component_id, kept).
+def _judged(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """(id, t, n, component, smallest) of each row: component names its group, null for rows that aren't compared, smallest is the group's least id.
 
-    Documents are linked when 100 * |intersection| >= percent * |union| of
-    their distinct k-word shingles (A-Z lower-cased, words between ASCII white
-    space; with fewer than k words the whole sequence is the one shingle).
-    component_id is the smallest id reachable over links and kept says that it
-    is the row's own id. Null and empty texts and texts without words have an
-    empty set, are linked with nothing and are kept; so are rows whose id is
-    null, with a null component. Repeated rows with one id and text share a
-    component and are all kept. An empty table gives no rows; other columns of
-    docs are ignored.
-
-    Equal sets form one class whose smallest id stands for it, so exact copies
-    never meet each other. Within a bucket every class meets the bucket's
-    smallest id, the closest of its buckets first; only buckets whose members
-    are then still in different components are searched further: classes
-    outside the bucket's largest component meet all its members, first their
-    closest by sketch, then all that remain. Every candidate pair is thus
-    either confirmed, rejected, or already in one component, without emitting
-    the pairs of a large group.
+    Classes of equal sets are numbered, so that rows which share an id but not
+    a text are different documents throughout.
     """
     cut = far_bits(percent / 100 - MARGIN)
     everything = materialize(signatures(docs, id_col, text_col, k), "signatures")
     full = everything.where("n > 0 and id is not null")
-    classes = materialize(full.groupBy("hi", "lo").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("whole").alias("whole"), F.first("bands").alias("bands")), "classes")
+    classes = full.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("whole").alias("whole"), F.first("bands").alias("bands"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     sketches = classes.select("node", "n", "sketch", "whole")
-    entries = classes.select("node", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("m")).where("m > 1").drop("m")
-    members = materialize(entries.join(buckets, "key"), "members")
+    entries = classes.select("id", "node", F.explode("bands").alias("key"))
+    buckets = entries.groupBy("key").agg(F.min(F.struct("id", "node"))["node"].alias("leader"), F.count("*").alias("m")).where("m > 1").drop("m")
+    members = materialize(entries.drop("id").join(buckets, "key"), "members")
 
     def near(x: str, y: str) -> Column:
         """Whether sizes, the sets' own bitmaps and the odd sketches leave it open that two sets are similar enough."""
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scored = stars.join(of("a", sketches), "a").join(of("b", sketches), "b").where(near("a", "b"))
     scored = materialize(scored.select("a", "b", _far(F.col("a_s"), F.col("b_s")).alias("far")), "stars")
     tried = materialize(scored.groupBy("b").agg(F.min_by("a", F.struct("far", "a")).alias("a")).select("a", "b"), "tried")
-    links = [confirm(tried, docs, id_col, text_col, k, percent)]
+    links = [confirm(tried, classes, docs, id_col, text_col, k, percent)]
     labels = materialize(connected_components(links[0]), "labels")
     for step in ("stars", "closest", "rest"):
         c = labels.select("node", F.col("component").alias("c"))
@@ -235,15 +235,72 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fresh = materialize(fresh.select("a", "b").distinct(), "tried")
         if fresh.isEmpty():
             continue
-        links.append(confirm(fresh, docs, id_col, text_col, k, percent))
+        links.append(confirm(fresh, classes, docs, id_col, text_col, k, percent))
         tried = tried.union(fresh)
         if not links[-1].isEmpty():
             found = links[0]
             for more in links[1:]:
                 found = found.union(more)
             labels = materialize(connected_components(found), "labels")
-    named = classes.join(labels, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("c"))
+    groups = classes.select("hi", "lo", "id", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = groups.groupBy("component").agg(F.min("id").alias("smallest"))
+    named = groups.join(least, "component").select("hi", "lo", "component", "smallest")
     empty = (F.col("n") == 0) | F.col("id").isNull()
-    out = everything.select("id", "n", F.when(~empty, F.col("hi")).alias("hi"), F.when(~empty, F.col("lo")).alias("lo")).join(named, ["hi", "lo"], "left")
-    component = F.when(empty, F.col("id")).otherwise(F.col("c"))
+    return everything.select("id", "t", "n", F.when(~empty, F.col("hi")).alias("hi"), F.when(~empty, F.col("lo")).alias("lo")).join(named, ["hi", "lo"], "left").drop("hi", "lo")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: (id_col, n_shingles, component_id, kept).
+
+    Documents are linked when 100 * |intersection| >= percent * |union| of
+    their distinct k-word shingles (A-Z lower-cased, words between ASCII white
+    space; with fewer than k words the whole sequence is the one shingle).
+    component_id is the smallest id reachable over links and kept says that it
+    is the row's own id. Null and empty texts and texts without words have an
+    empty set, are linked with nothing and are kept; so are rows whose id is
+    null, with a null component. Repeated rows with one id and text share a
+    component and are all kept; rows that share an id and not a text are
+    compared as the different texts they are, each with its own component_id.
+    An empty table gives no rows; other columns of docs are ignored.
+
+    Equal sets form one class, so exact copies never meet each other. Within a
+    bucket every class meets that with the bucket's smallest id, the closest of
+    its buckets first; only buckets whose members are then still in different
+    components are searched further: classes outside the bucket's largest
+    component meet all its members, first their closest by sketch, then all
+    that remain. Every candidate pair is thus either confirmed, rejected, or
+    already in one component, without emitting the pairs of a large group.
+    """
+    out = _judged(docs, id_col, text_col, k, percent)
+    component = F.coalesce("smallest", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of near-duplicates, and all of docs' columns, whatever their names.
+
+    Groups are those of near_duplicates, but rows that share an id and not a
+    text are told apart, so that none is lost for another's sake: of each group
+    the row with the smallest id stays (of several, that with the smallest hash
+    of its text; of rows equal in both, any one). Rows with a null id, or with
+    texts that are null or have no words, all stay. No rows give no rows. Only
+    the rows to go are joined with docs; texts move only where those are very
+    many, or for ids and texts that occur twice.
+    """
+    judged = materialize(_judged(docs, id_col, text_col, k, percent).where("component is not null"), "judged")
+    sizes = judged.groupBy("component").agg(F.count("*").alias("m"), F.min(F.struct("id", "t")).alias("first")).where("m > 1").drop("m")
+    members = materialize(judged.join(sizes, "component").select("id", "t", (F.struct("id", "t") == F.col("first")).alias("first")), "members")
+    own, restored = by_place(docs)
+    key, text = (F.col(own.columns[docs.columns.index(c)]) for c in (id_col, text_col))
+    own = own.withColumns({"_key": key.cast("long"), "_text": text_key(text)})
+
+    def only(which: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        which = small_enough(materialize(which, "which"), BROADCAST_IDS)
+        return rows.join(which, (F.col("_key") == F.col("id")) & (F.col("_text") == F.col("t")), how)
+
+    gone = members.where("not first").select("id", "t").distinct()
+    kept = only(gone, "left_anti", own)
+    twice = materialize(members.where("first").groupBy("id", "t").count().where("count > 1").select("id", "t"), "twice")
+    if not twice.isEmpty():
+        kept = only(twice, "left_anti", kept).unionByName(only(twice, "left_semi", kept).dropDuplicates(["_key", "_text"]))
+    return restored(kept)
