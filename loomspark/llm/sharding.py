@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import materialize, with_rank
+from loomspark.llm.common import by_place, materialize, small_enough, with_rank
 
-#: Groups smaller than a shard's capacity over this are pooled by hash into parcels of about that size, and parcels are packed like groups.
-PARCELS = 512
+#: Rows of a plan, or groups of several rows, that are broadcast at most; more are joined by a shuffle.
+BROADCAST = 1_000_000
 
 
 class CapacityTree:
@@ -93,8 +93,35 @@ def best_fit_decreasing(sizes: Sequence[int], capacity: int, bins: int | None =
     return out
 
 
-def _keyed(docs: DataFrame, text_col: str, overhead: int) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def fill(counts: Iterable[tuple[int, int]], capacity: int, bins: int | None = None) -> list[tuple[int, int, int, int]]:
+    """best_fit_decreasing for (size, number of items) pairs: (size, first, number, bin), items of a size being counted from first.
+
+    Once an item of some size has entered a bin, that bin stays the tightest
+    for the next one until it holds no more, so equal items enter it together
+    and the work follows the number of sizes and bins, not of items.
+    """
+    tree, out, opened = CapacityTree(), [], bins or 0
+    for b in range(opened):
+        tree.add((capacity, b))
+    for size, n in sorted(counts, reverse=True):
+        first = 0
+        while first < n:
+            place = tree.tightest(size)
+            if place is None and bins is None:
+                place = (max(capacity, size), opened)
+                opened += 1
+            else:
+                place = place or tree.roomiest()
+                tree.remove(place)
+            taken = min(n - first, max(1, place[0] // size if size else n - first))
+            out.append((size, first, taken, place[1]))
+            tree.add((place[0] - taken * size, place[1]))
+            first += taken
+    return out
+
+
+def _keyed(docs: DataFrame, text: Column, overhead: int) -> DataFrame:
+    text = F.coalesce(text, F.lit(""))
     return docs.withColumns({
         "_size": (F.octet_length(text) + overhead).cast("long"),
         "_crc": F.crc32(text.cast("binary")),
@@ -102,48 +129,53 @@ def _keyed(docs: DataFrame, text_col: str, overhead: int) -> DataFrame:
     })
 
 
-def _fair_capacity(total: int, large: Sequence[int], shards: int) -> int:
-    """The share of a shard, when groups above it have shards of their own."""
-    rest, left = total, shards
-    for size in sorted(large, reverse=True):
-        if left > 1 and size * left > rest:
+def _fair_capacity(counts: Sequence[tuple[int, int]], shards: int) -> int:
+    """The share of a shard, when groups above it have shards of their own; counts are (size, number of groups), the largest first."""
+    rest, left = sum(size * n for size, n in counts), shards
+    for size, n in counts:
+        for _ in range(min(n, left)):
+            if left <= 1 or size * left <= rest:
+                return max(1, -(-rest // left))
             rest, left = rest - size, left - 1
-        else:
-            break
     return max(1, -(-rest // left))
 
 
-def plan_shards(keyed: DataFrame, shards: int) -> tuple[DataFrame, DataFrame, int]:
-    """Shards of large groups (_h, _crc, shard) and of parcels (_parcel, shard), and the number of parcels.
+def plan_shards(keyed: DataFrame, shards: int | None, capacity: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(_h, _crc, group_size) of groups of several rows, and (size, low, high, shard): the shard of groups of a size whose _h is in [low, high).
 
-    keyed has _h, _crc and _size. The driver gets at most shards * PARCELS
-    large groups, as each has that share of the total at least, and so many
-    parcels: neither number grows with the input.
+    keyed has _h, _crc and _size. The driver gets the number of groups of each
+    size, which has as many rows as there are different sizes (100,000 or so,
+    as texts have), and packs by it; groups of one size are in the order of _h,
+    so a plan needs only the places where the shard changes.
     """
     spark = keyed.sparkSession
-    groups = materialize(keyed.groupBy("_h", "_crc").agg(F.sum("_size").alias("size")), "groups")
-    total = groups.agg(F.sum("size")).first()[0] or 0
-    least = max(1, -(-total // (shards * PARCELS)))
-    large = groups.where(F.col("size") > least).orderBy(F.desc("size"), "_h", "_crc").collect()
-    small = groups.where(F.col("size") <= least)
-    n = max(1, -(-(small.agg(F.sum("size")).first()[0] or 0) // least))
-    parcels = small.groupBy(F.pmod("_h", F.lit(n)).alias("p")).agg(F.sum("size").alias("size")).orderBy("p").collect()
-    sizes = [r["size"] for r in large] + [r["size"] for r in parcels]
-    bins = best_fit_decreasing(sizes, _fair_capacity(total, [r["size"] for r in large], shards), shards)
-    of_large = spark.createDataFrame([(r["_h"], r["_crc"], b) for r, b in zip(large, bins)], "_h long, _crc long, _large int")
-    of_parcel = spark.createDataFrame([(r["p"], b) for r, b in zip(parcels, bins[len(large) :])], "_parcel long, _small int")
-    return of_large, of_parcel, n
-
-
-def _placed(keyed: DataFrame, plan: tuple[DataFrame, DataFrame, int]) -> DataFrame:
-    of_large, of_parcel, n = plan
-    out = keyed.join(F.broadcast(of_large), ["_h", "_crc"], "left").withColumn("_parcel", F.pmod("_h", F.lit(n)))
-    out = out.join(F.broadcast(of_parcel), "_parcel", "left")
-    return out.withColumn("shard", F.coalesce("_large", "_small")).drop("_large", "_small", "_parcel")
-
-
-def with_shard(docs: DataFrame, shards: int = 40, text_col: str = "text", overhead: int = 16) -> DataFrame:
-    """docs with a column shard (0 to shards - 1); texts aren't shuffled.
+    groups = keyed.groupBy("_h", "_crc").agg(F.sum("_size").alias("size"), F.count("*").alias("m"))
+    groups = materialize(groups, "groups")
+    counts = [tuple(r) for r in groups.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect()]
+    filled = fill(counts, capacity or _fair_capacity(counts, shards), shards)
+    cuts = [(size, first) for size, first, _, _ in filled if first]
+    low: dict[tuple[int, int], int] = {}
+    if cuts:
+        table = spark.createDataFrame(cuts, "s long, first long")
+        cut = groups.join(small_enough(table.select(F.col("s").alias("size")).distinct(), BROADCAST), "size", "left_semi")
+        ranked = with_rank(cut.select("size", "_h", "_crc"), "size", ["_h", "_crc"], "r")
+        found = ranked.join(small_enough(table, BROADCAST), (F.col("size") == F.col("s")) & (F.col("r") == F.col("first")))
+        low = {(r["size"], r["first"]): r["_h"] for r in found.select("size", "first", "_h").collect()}  # a row for each cut
+    rows = [(size, low.get((size, first)), low.get((size, first + n)), b) for size, first, n, b in filled]
+    return groups.where("m > 1").select("_h", "_crc", F.col("size").alias("group_size")), spark.createDataFrame(rows, "size long, low long, high long, shard int")
+
+
+def _placed(keyed: DataFrame, plan: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """keyed with _shard."""
+    several, table = plan
+    several = small_enough(several.select(F.col("_h").alias("_gh"), F.col("_crc").alias("_gc"), "group_size"), BROADCAST)
+    out = keyed.join(several, (F.col("_h") == F.col("_gh")) & (F.col("_crc") == F.col("_gc")), "left").withColumn("_group", F.coalesce("group_size", "_size"))
+    inside = (F.col("_group") == F.col("size")) & F.coalesce(F.col("_h") >= F.col("low"), F.lit(True)) & F.coalesce(F.col("_h") < F.col("high"), F.lit(True))
+    return out.join(small_enough(table, BROADCAST), inside).withColumn("_shard", F.col("shard")).drop("_gh", "_gc", "group_size", "_group", "size", "low", "high", "shard")
+
+
+def with_shard(docs: DataFrame, shards: int | None = 40, text_col: str = "text", overhead: int = 16, capacity: int | None = None) -> DataFrame:
+    """docs with a column shard (0 to shards - 1), by best-fit decreasing.
 
     The sizes of shards, in UTF-8 bytes of their texts plus overhead for each
     row, are as near equal as indivisible groups allow: rows with equal texts
@@ -151,20 +183,27 @@ def with_shard(docs: DataFrame, shards: int = 40, text_col: str = "text", overhe
     two hashes count as equal). Groups enter shards by decreasing size, each
     into the shard with the least room that still holds it. Groups above a
     shard's share have their own shards, and the rest share the others evenly.
-    An empty table gives no rows; shards may stay empty when there are few
-    groups. A column named shard is replaced.
+    With capacity and no shards, shards of that capacity are opened as they are
+    needed, so that few are; a group above it has a shard of its own.
+
+    Every group is packed by its own size. Texts are only shuffled if more than
+    BROADCAST groups have several rows. An empty table gives no rows; shards
+    may stay empty when there are few groups. All columns stay, whatever their
+    names, but a column named shard is replaced.
     """
-    keyed = _keyed(docs.drop("shard"), text_col, overhead)
-    plan = plan_shards(keyed.select("_h", "_crc", "_size"), shards)
-    return _placed(keyed, plan).drop("_h", "_crc", "_size")
+    own, restored = by_place(docs.drop("shard"))
+    keyed = _keyed(own, F.col(own.columns[docs.drop("shard").columns.index(text_col)]), overhead)
+    return restored(_placed(keyed, plan_shards(keyed.select("_h", "_crc", "_size"), shards, capacity)), shard=F.col("_shard"))
 
 
-def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
+def assign(docs: DataFrame, shards: int | None = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, capacity: int | None = None) -> DataFrame:
     """(id_col, size, text_crc32, shard, slot) for every row: as with_shard, and slot is the row's gapless place in its shard by id.
 
-    Null ids come first in a shard; repeated rows get different slots.
+    Null ids come first in a shard; repeated rows get different slots. Other
+    columns are ignored.
     """
-    keyed = materialize(_keyed(docs.select(id_col, text_col), text_col, overhead).drop(text_col), "keyed")
-    placed = _placed(keyed, plan_shards(keyed, shards))
-    ranked = with_rank(placed, "shard", [id_col, "_size", "_h"], "slot")
-    return ranked.select(id_col, F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", "slot")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    keyed = materialize(_keyed(rows, F.col("_text"), overhead).drop("_text"), "keyed")
+    placed = _placed(keyed, plan_shards(keyed, shards, capacity))
+    ranked = with_rank(placed, "_shard", ["_id", "_size", "_h"], "slot")
+    return ranked.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.col("_shard").alias("shard"), "slot")
