@@ -11,12 +11,15 @@ from loomspark.llm.common import lower_ascii, materialize, small_enough
 from loomspark.llm.components import connected_components
 
 ALLOW, BLOCK = "allow", "block"
-#: Rules held in an expression at most.
-RULES = 1000
+#: Rules held in one expression at most; more are joined with hosts' suffixes. Rules, or components' members, that are broadcast at most.
+RULES, BROADCAST = 200, 500_000
 #: Query parameters that don't change what a url shows.
 TRACKING = ("utm_[a-z]+", "ref", "fbclid", "gclid")
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
+#: Tags that name another address of a page: the tag, what makes it one, and the address in it.
+LINK_TAGS = (
+    (r"(?is)<link\b[^>]*>", r"""(?is)\brel\s*=\s*["']?canonical\b""", r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""),
+    (r"(?is)<meta\b[^>]*>", r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b""", r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""),
+)
 
 
 def host_of(url: Column) -> Column:
@@ -47,52 +50,83 @@ def absolute(link: Column, base: Column) -> Column:
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst) urls of the canonical links and meta refreshes in pages' html."""
+    """(src, dst) urls of all canonical links and meta refreshes in pages' html; null html or urls have none."""
     out = None
-    for pattern in (CANONICAL, REFRESH):
-        some = pages.select(F.col(url_col).alias("src"), F.regexp_extract(html_col, pattern, 1).alias("l")).where("l <> '' and src is not null")
-        some = some.select("src", absolute(F.replace("l", F.lit("&amp;"), F.lit("&")), F.col("src")).alias("dst"))
-        out = some if out is None else out.union(some)
+    rows = pages.select(F.col(url_col).alias("src"), F.col(html_col).alias("html")).where("src is not null")
+    for tag, kind, address in LINK_TAGS:
+        tags = F.filter(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: t.rlike(kind))
+        links = rows.select("src", F.explode(tags).alias("t")).select("src", F.regexp_extract("t", address, 1).alias("l")).where("l <> ''")
+        links = links.select("src", absolute(F.replace("l", F.lit("&amp;"), F.lit("&")), F.col("src")).alias("dst"))
+        out = links if out is None else out.union(links)
     return out
 
 
+def _rank(verdict: str, host: str, path: str) -> tuple:
+    """Longer rules win; of equally long ones, block, then the last by name."""
+    return len(host) + len(path), verdict == BLOCK, host + path
+
+
 def rule_match(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """struct(rule, verdict) of the longest rule (verdict, host, path) that fits; null if none does. Of equally long ones, block comes first."""
-    if len(rules) > RULES:
-        raise ValueError(f"more than {RULES} rules; join them instead")
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, rule_host, rule_path in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r[0] == BLOCK)):
+    for verdict, rule_host, rule_path in sorted(rules, key=lambda r: _rank(*r)):
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
         out = F.when(fits, F.struct(F.lit(rule_host + rule_path).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
     return out
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], links: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def with_rule(urls: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame) -> DataFrame:
+    """urls (with host and path) with own: the struct that rule_match gives.
+
+    Up to RULES rules are one expression. More, or a table of rules (verdict,
+    host, path), are joined: each different host and path meets the rules of
+    its host and of the domains above it.
+    """
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= RULES:
+            return urls.withColumn("own", rule_match(F.col("host"), F.col("path"), rules))
+        rules = urls.sparkSession.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
+    table = rules.select(F.col("host").alias("domain"), F.col("path").alias("start"), "verdict")
+    places = urls.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    met = places.select("host", "path", F.explode(domains).alias("domain")).join(small_enough(table, BROADCAST), "domain").where(F.col("path").startswith(F.col("start")))
+    rule = F.concat("domain", "start")
+    best = F.max(F.struct(F.length(rule).alias("size"), (F.col("verdict") == BLOCK).alias("block"), rule.alias("rule"), "verdict")).alias("b")
+    best = met.groupBy(F.col("host").alias("_host"), F.col("path").alias("_path")).agg(best)
+    out = urls.join(best, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
+    return out.withColumn("own", F.when(F.col("b").isNotNull(), F.struct("b.rule", "b.verdict"))).drop("_host", "_path", "b")
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, links: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", variants: bool = True) -> DataFrame:
     """(id_col, host, path, rule, verdict, alias_of) for every row.
 
-    A row's own longest rule decides, so an explicit allow holds whatever its
-    aliases are. A url without a rule is blocked if an alias is: urls are
-    aliases if they share an alias_key, or if redirects or canonical links
-    (links: src, dst) connect them, in any number of steps and either way. All
-    else is allowed. alias_of is the smallest alias_key of the row's component.
+    A row's own longest rule decides (of equally long ones, block), so an
+    explicit allow holds whatever its aliases are. A url without a rule is
+    blocked if an alias is: urls are aliases if redirects or canonical links
+    (links: src, dst) connect them, in any number of steps and either way. With
+    variants, urls that share an alias_key, which servers commonly redirect to
+    one address, count as one; without, only equal urls do. All else is
+    allowed. alias_of is the smallest key of the row's component.
 
     Null urls and urls without :// have an empty host and path, fit no rule and
-    have no aliases: they are allowed. Repeated rows are judged alike. No rows
-    give no rows; other columns are ignored. Components are found in the shared
-    folder, distributed; very common hosts or link targets are no hot keys.
+    have no aliases: they are allowed. Very long urls are judged whole. Repeated
+    rows are judged alike. No rows give no rows; other columns are ignored.
+    Components are found in the shared folder, distributed; very common hosts or
+    link targets are no hot keys.
     """
-    found = pages.select(F.col(id_col), F.col(url_col).alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    found = found.withColumns({"key": F.when(F.coalesce(F.col("url").contains("://"), F.lit(False)), alias_key(F.col("url"))), "own": rule_match(F.col("host"), F.col("path"), rules)})
-    rows = materialize(found.select(id_col, "host", "path", "key", F.col("own.rule").alias("rule"), F.col("own.verdict").alias("own")), "urls")
+    key_of = alias_key if variants else (lambda url: url)
+    found = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    found = with_rule(found.withColumn("key", F.when(F.coalesce(F.col("url").contains("://"), F.lit(False)), key_of(F.col("url")))), rules)
+    rows = materialize(found.select("id", "host", "path", "key", F.col("own.rule").alias("rule"), F.col("own.verdict").alias("own")), "urls")
     blocked = rows.where((F.col("own") == BLOCK) & F.col("key").isNotNull()).select("key")
     if links is not None:
-        ends = links.select(alias_key(F.col("src")).alias("a"), alias_key(F.col("dst")).alias("b"), F.col("dst"))
+        ends = links.select(key_of(F.col("src")).alias("a"), key_of(F.col("dst")).alias("b"), F.col("dst"))
         ends = materialize(ends.where("a is not null and b is not null"), "links")
         # A link's target may be no page of its own, yet be blocked by a rule.
-        targets = ends.withColumn("own", rule_match(host_of(F.col("dst")), path_of(F.col("dst")), rules)).where(F.col("own.verdict") == BLOCK).select(F.col("b").alias("key"))
-        blocked = blocked.union(targets)
-        labels = connected_components(ends.select("a", "b"))
-        labels = small_enough(labels, 500_000)
+        targets = with_rule(ends.select(F.col("b").alias("key"), host_of(F.col("dst")).alias("host"), path_of(F.col("dst")).alias("path")), rules)
+        blocked = blocked.union(targets.where(F.col("own.verdict") == BLOCK).select("key"))
+        labels = small_enough(connected_components(ends.select("a", "b")), BROADCAST)
         rows = rows.join(labels, rows["key"] == labels["node"], "left").withColumn("alias_of", F.coalesce("component", "key")).drop("node", "component")
         blocked = blocked.join(labels, blocked["key"] == labels["node"], "left").select(F.coalesce("component", "key").alias("bad"))
     else:
@@ -101,4 +135,4 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], links: DataFr
     blocked = blocked.distinct()
     judged = rows.join(blocked, rows["alias_of"] == blocked["bad"], "left")
     verdict = F.coalesce("own", F.when(F.col("bad").isNotNull(), F.lit(BLOCK)).otherwise(F.lit(ALLOW)))
-    return judged.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "alias_of")
+    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "alias_of")
