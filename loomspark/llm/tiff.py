@@ -76,74 +76,80 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _lzw_bits(entries: int) -> int:
-    """Code width when the table has so many entries; it widens one code early."""
-    return 9 if entries < 511 else 10 if entries < 1023 else 11 if entries < 2047 else 12
+def _lzw_widths() -> np.ndarray:
+    """The width of each code after a clear code, by its place; codes widen one early, and the table has 4096 entries at most."""
+    entries = 257 + np.arange(4096 - 257)
+    return 9 + (entries >= 511).astype(np.int64) + (entries >= 1023) + (entries >= 2047)
+
+
+_WIDTHS = _lzw_widths()
+_ENDS = np.cumsum(_WIDTHS)
+_SINGLES = [bytes((i,)) for i in range(256)] + [b"", b""]
 
 
 def unpack_lzw(data: bytes) -> bytes:
-    table = [bytes((i,)) for i in range(256)] + [b"", b""]
-    out, held, have, last, width = [], 0, 0, b"", 9
-    for byte in data:
-        held, have = (held << 8) | byte, have + 8
-        if have < width:
-            continue
-        have -= width
-        code = (held >> have) & ((1 << width) - 1)
-        held &= (1 << have) - 1
-        if code == 256:
-            del table[258:]
-            last, width = b"", 9
-            continue
-        if code == 257:
-            break
-        if not last:
-            if code > 255:
-                raise TiffError("bad LZW code")
-            word = table[code]
-        else:
-            if code > len(table):
+    """Codes are cut out a run between clear codes at a time, as their widths follow from their place in it."""
+    held = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)]).astype(np.int64)
+    bits, out = 8 * len(data), []
+    at = 9 if bits >= 9 and (held[0] << 1 | held[1] >> 7) == 256 else 0
+    while True:
+        fit = int(np.searchsorted(_ENDS, bits - at, side="right"))
+        widths, starts = _WIDTHS[:fit], at + _ENDS[:fit] - _WIDTHS[:fit]
+        byte = starts >> 3
+        codes = (held[byte] << 16 | held[byte + 1] << 8 | held[byte + 2]) >> (24 - (starts & 7) - widths) & ((1 << widths) - 1)
+        stop = np.flatnonzero((codes | 1) == 257)
+        end = int(stop[0]) if len(stop) else fit
+        table, last = list(_SINGLES), b""
+        for code in codes[:end].tolist():
+            if not last:
+                if code > 255:
+                    raise TiffError("bad LZW code")
+                word = _SINGLES[code]
+            elif code < len(table):
+                word = table[code]
+                table.append(last + word[:1])
+            elif code == len(table):
+                word = last + last[:1]
+                table.append(word)
+            else:
                 raise TiffError("bad LZW code")
-            word = table[code] if code < len(table) else last + last[:1]
-            table.append(last + word[:1])
-        out.append(word)
-        last, width = word, _lzw_bits(len(table))
-    return b"".join(out)
+            out.append(word)
+            last = word
+        if end == len(_WIDTHS):
+            raise TiffError("LZW data go on without a clear code")
+        if end == fit or codes[end] == 257:
+            return b"".join(out)
+        at = int(starts[end] + widths[end])
 
 
 def pack_lzw(data: bytes) -> bytes:
-    out, held, have = bytearray(), 0, 0
-
-    def put(code: int, width: int) -> None:
-        nonlocal held, have
-        held, have = (held << width) | code, have + width
-        while have >= 8:
-            have -= 8
-            out.append((held >> have) & 255)
-        held &= (1 << have) - 1
-
-    fresh = {bytes((i,)): i for i in range(256)}
-    table, entries, word = dict(fresh), 258, b""
-    put(256, 9)
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
-            word = longer
+    """Codes are found byte by byte, then written by their widths all at once."""
+    runs: list[list[int]] = [[]]
+    table: dict[int, int] = {}
+    entries, word, put = 258, -1, runs[0].append
+    for byte in data:
+        if word < 0:
+            word = byte
             continue
-        put(table[word], _lzw_bits(entries - 1))
-        table[longer] = entries
-        entries += 1
-        if entries == 4095:
-            put(256, 12)
-            table, entries = dict(fresh), 258
-        word = longer[-1:]
-    if word:
-        put(table[word], _lzw_bits(entries - 1))
+        key = word << 8 | byte
+        found = table.get(key)
+        if found is not None:
+            word = found
+            continue
+        put(word)
+        table[key] = entries
         entries += 1
-    put(257, _lzw_bits(entries - 1))
-    if have:
-        out.append((held << (8 - have)) & 255)
-    return bytes(out)
+        word = byte
+        if entries == 4095:  # as good as full: a new run
+            runs.append([])
+            table, entries, put = {}, 258, runs[-1].append
+    if word >= 0:
+        put(word)
+    codes = np.array([256] + [c for i, run in enumerate(runs) for c in (*run, 256 if i + 1 < len(runs) else 257)], np.int64)
+    widths = np.concatenate([_WIDTHS[:1], *[_WIDTHS[: len(run) + 1] for run in runs]])
+    place = np.arange(12)
+    bits = (codes[:, None] >> np.maximum(widths[:, None] - 1 - place, 0)) & 1
+    return np.packbits(bits[place < widths[:, None]].astype(np.uint8)).tobytes()
 
 
 _PACK = {NONE: bytes, LZW: pack_lzw, DEFLATE: lambda b: zlib.compress(b, 1), PACKBITS: pack_bits}
@@ -151,13 +157,17 @@ _UNPACK = {NONE: bytes, LZW: unpack_lzw, DEFLATE: lambda b: zlib.decompress(b),
 
 
 def write(pages: Sequence[np.ndarray], compression: int = DEFLATE, predictor: int = 1, rows_per_strip: int = 64, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
-    """A TIFF of images of unsigned 8-, 16- or 32-bit samples (height x width [x samples]), in strips or in tiles of (height, width)."""
+    """A TIFF of images (height x width [x samples]) of unsigned 8-, 16- or 32-bit samples, or of 0 and 1 as booleans, in strips or in tiles of (height, width).
+
+    predictor is 1 (none), 2 (differences) or, for 16 and 32 bits in big-endian
+    order, 3 (differences of the samples' bytes, laid out by significance).
+    """
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
     link = 4
     for image in pages:
         image = image if image.ndim == 3 else image[:, :, None]
         height, width, samples = image.shape
-        image = image.astype(image.dtype.newbyteorder(order))
+        image = image if image.dtype == bool else image.astype(image.dtype.newbyteorder(order))
         if tile:
             th, tw = tile
             full = np.zeros((-(-height // th) * th, -(-width // tw) * tw, samples), image.dtype)
@@ -171,11 +181,18 @@ def write(pages: Sequence[np.ndarray], compression: int = DEFLATE, predictor: in
                 moved = part.copy()
                 moved[:, 1:] = part[:, 1:] - part[:, :-1]
                 part = moved
+            elif predictor == 3:
+                size = image.dtype.itemsize
+                wide = np.ascontiguousarray(part.astype(f">u{size}")).view(np.uint8).reshape(len(part), -1, size).transpose(0, 2, 1).reshape(len(part), -1, samples)
+                part = wide.copy()
+                part[:, 1:] = wide[:, 1:] - wide[:, :-1]
+            if image.dtype == bool:
+                part = np.packbits(part.reshape(len(part), -1), axis=1)
             data = _PACK[compression](np.ascontiguousarray(part).tobytes())
             offsets.append(len(out))
             counts.append(len(data))
             out += data
-        bits = image.dtype.itemsize * 8
+        bits = 1 if image.dtype == bool else image.dtype.itemsize * 8
         entries = {WIDTH: ("I", [width]), HEIGHT: ("I", [height]), BITS: ("H", [bits] * samples), COMPRESSION: ("H", [compression]), PHOTOMETRIC: ("H", [2 if samples >= 3 else 1]), SAMPLES: ("H", [samples]), PREDICTOR: ("H", [predictor])}
         if tile:
             entries |= {TILE_WIDTH: ("I", [tile[1]]), TILE_HEIGHT: ("I", [tile[0]]), TILE_OFFSETS: ("I", offsets), TILE_COUNTS: ("I", counts)}
@@ -222,14 +239,14 @@ def _image(data: bytes, order: str, f: dict[int, tuple]) -> Page:
     one = lambda tag, default: f.get(tag, (default,))[0]
     width, height, samples, bits = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1)
     compression, predictor, tiled = one(COMPRESSION, 1), one(PREDICTOR, 1), TILE_OFFSETS in f
-    if bits not in (8, 16, 32, 64) or len(set(f.get(BITS, (bits,)))) > 1:
+    if bits not in (1, 2, 4, 8, 16, 32, 64) or bits < 8 and predictor != 1 or len(set(f.get(BITS, (bits,)))) > 1:
         raise TiffError(f"samples of {bits} bits aren't read")
     if compression not in _UNPACK or predictor not in (1, 2, 3):
         raise TiffError(f"compression {compression} with predictor {predictor} isn't read")
-    if width * height * samples * bits // 8 > PAGE_BYTES:
+    if width * height * samples * max(8, bits) // 8 > PAGE_BYTES:
         raise TiffError("a page is too large")
     planes, inner = (samples, 1) if one(PLANAR, 1) == 2 else (1, samples)
-    kind = np.dtype(f"{order}u{bits // 8}")
+    kind = np.dtype(f"{order}u{max(1, bits // 8)}")
     image = np.zeros((height, width, samples), kind)
     if tiled:
         th, tw, offsets, counts = one(TILE_HEIGHT, height), one(TILE_WIDTH, width), f[TILE_OFFSETS], f[TILE_COUNTS]
@@ -242,10 +259,14 @@ def _image(data: bytes, order: str, f: dict[int, tuple]) -> Page:
     for (p, y, x), offset, count in zip(places, offsets, counts):
         rows = th if tiled else min(th, height - y)
         raw = _UNPACK[compression](data[offset : offset + count])
-        need = rows * tw * inner * kind.itemsize
+        line = tw * inner * kind.itemsize if bits >= 8 else -(-tw * inner * bits // 8)
+        need = rows * line
         if len(raw) < need:
             raise TiffError("a strip or tile is too short")
-        if predictor == 3:
+        if bits < 8:  # samples of less than a byte; each line begins with a whole one
+            ones = np.unpackbits(np.frombuffer(raw[:need], np.uint8).reshape(rows, line), axis=1)[:, : tw * inner * bits].reshape(rows, tw, inner, bits)
+            part = (ones << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=3, dtype=np.uint8)
+        elif predictor == 3:
             planes_of = np.frombuffer(raw[:need], np.uint8).reshape(rows, tw * inner * kind.itemsize)
             summed = np.cumsum(planes_of.reshape(rows, -1, inner), axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, tw * inner)
             part = np.ascontiguousarray(summed.transpose(0, 2, 1)).view(f">u{kind.itemsize}").reshape(rows, tw, inner)
@@ -259,7 +280,7 @@ def _image(data: bytes, order: str, f: dict[int, tuple]) -> Page:
 
 
 def read(data: bytes) -> list[Page]:
-    """The pages of a TIFF, in the order of its directories; samples keep the file's byte order."""
+    """The pages of a TIFF, in the order of its directories; samples keep the file's byte order, and those of less than a byte get one each."""
     if len(data) < 8 or data[:4] not in (b"II*\0", b"MM\0*"):
         raise TiffError("no TIFF header")
     order = "<" if data[:2] == b"II" else ">"
@@ -277,20 +298,22 @@ def read(data: bytes) -> list[Page]:
     return pages
 
 
-PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, error string, pixels binary"
+PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, error string, pixels binary, histogram array<int>"
 
 
 def read_pages(media: DataFrame, column: str = "media") -> DataFrame:
     """One row per page of each TIFF in a binary column, with the columns of PAGE_SCHEMA beside media's own (which give way to those names).
 
-    A null, empty or broken file gives one row with page -1, an error and null
-    pixels; a file without pages gives none. Repeated rows are read alike, and
-    an empty table gives no rows.
+    histogram counts the bytes of all samples by their upper four bits. A null,
+    empty or broken file gives one row with page -1, an error and null pixels,
+    as does one of more than PAGES pages or with a page of more than PAGE_BYTES;
+    a file without pages gives none. Repeated rows are read alike, and an empty
+    table gives no rows.
     """
     own = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]
     media = media.drop(*[x for x in own if x != column])
     names, place = media.columns, media.columns.index(column)
-    kinds = [*[pa.int32()] * 7, pa.bool_(), pa.string(), pa.binary()]
+    kinds = [*[pa.int32()] * 7, pa.bool_(), pa.string(), pa.binary(), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,9 +321,9 @@ def read_pages(media: DataFrame, column: str = "media") -> DataFrame:
                 rows, source = [], []
                 for i, x in enumerate(piece.column(place)):
                     try:
-                        found = [(n, *p[:7], None, p.pixels) for n, p in enumerate(read(x.as_py() or b""))]
+                        found = [(n, *p[:7], None, p.pixels, np.bincount(np.frombuffer(p.pixels, np.uint8) >> 4, minlength=16)) for n, p in enumerate(read(x.as_py() or b""))]
                     except TiffError as e:
-                        found = [(-1, *[None] * 7, str(e), None)]
+                        found = [(-1, *[None] * 7, str(e), None, None)]
                     rows += found
                     source += [i] * len(found)
                 if rows:
@@ -318,17 +341,23 @@ def image_of(text: str | None) -> bytes:
     """A text as a TIFF of 8-bit samples, ROW wide: its UTF-8 bytes, filled up with spaces to a positive multiple of ROW.
 
     The bytes' checksum chooses between deflate strips with a predictor,
-    deflate tiles, and PackBits strips, so that equal texts have equal files.
+    deflate tiles, PackBits strips and LZW strips, so that equal texts have
+    equal files.
     """
     data = (text or "").encode("utf-8", "replace")
     data = data.ljust(max(1, -(-len(data) // ROW)) * ROW, b" ")
     image = np.frombuffer(data, np.uint8).reshape(-1, ROW)
-    way = zlib.crc32(data) % 3
-    return write([image], compression=PACKBITS if way == 2 else DEFLATE, predictor=2 if way == 0 else 1, tile=(64, 64) if way == 1 else None)
+    way = zlib.crc32(data) % 4
+    return write([image], compression=(DEFLATE, DEFLATE, PACKBITS, LZW)[way], predictor=2 if way == 0 else 1, tile=(64, 64) if way == 1 else None)
 
 
 def texts_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_bytes, media): each text's UTF-8 length and its image_of; null texts are empty ones."""
+    """(id_col, n_bytes, media): each text's UTF-8 length and its image_of.
+
+    Null texts are empty ones. A text is one page however long it is; one above
+    PAGE_BYTES could not be read back. Null ids and repeated rows have rows of
+    their own; no rows give no rows; other columns are ignored.
+    """
     from pyspark.sql import functions as F
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
