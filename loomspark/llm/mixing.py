@@ -9,13 +9,13 @@ from fractions import Fraction
 from itertools import chain, islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import new_path, small_enough, with_rank
 
 #: Rows of a block; sources at most; blocks that the driver holds at once; slots that are broadcast at most.
-BLOCK_ROWS, SOURCES, PIECE, BROADCAST = 32, 256, 1 << 18, 2_000_000
+BLOCK_ROWS, SOURCES, PIECE, BROADCAST = 32, 4096, 1 << 18, 2_000_000
 
 
 def turns(units: Mapping) -> Iterator:
@@ -85,6 +85,11 @@ def _slots(spark: SparkSession, rows: Iterator[tuple]) -> DataFrame:
             return spark.read.schema("s string, block long, slot long, phase int, active double").parquet(path)
 
 
+def order_key(id_col: Column) -> Column:
+    """What a source's rows are ordered by: the first 60 bits of the md5 of the id as text, null being empty."""
+    return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def mix(docs: DataFrame, weights: Mapping | None = None, source_col: str = "source", id_col: str = "doc_id", temperature: float = 0.7, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id_col, source, phase, slot, position, active_weight) for every row: its place in the mixture.
 
@@ -101,7 +106,9 @@ def mix(docs: DataFrame, weights: Mapping | None = None, source_col: str = "sour
     position is gapless from 0.
 
     Null ids and repeated rows get places like any others. An empty table gives
-    no rows. More than SOURCES sources are an error. Texts aren't read.
+    no rows. More than SOURCES sources are an error, as the driver holds a
+    number for each and goes through all at the end of each phase. Texts, of
+    any length, and other columns aren't read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col), F.col(source_col).alias("source"))
@@ -124,7 +131,7 @@ def mix(docs: DataFrame, weights: Mapping | None = None, source_col: str = "sour
             yield None if s is None else str(s), block, slot, phase, active if s in named else 0.0
 
     table = _slots(spark, plan())
-    ranked = with_rank(rows.withColumn("_h", F.xxhash64(F.col(id_col).cast("string"))), "source", ["_h", id_col], "_r")
+    ranked = with_rank(rows.withColumn("_h", order_key(F.col(id_col))), "source", ["_h", id_col], "_r")
     ranked = ranked.withColumns({"_b": F.floor(F.col("_r") / block_rows).cast("long"), "_i": F.col("_r") % block_rows})
     found = ranked.join(small_enough(table, BROADCAST), F.col("source").cast("string").eqNullSafe(F.col("s")) & (F.col("_b") == F.col("block")))
     short = [(t, blocks[s] * block_rows - counts[s]) for s, t in last.items()]
