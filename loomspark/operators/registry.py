@@ -97,6 +97,14 @@ def catalog_document(entries: DataFrame) -> str:
     return json.dumps({"schema_version": 2, "packages": packages}, indent=2, ensure_ascii=False) + "\n"
 
 
+def catalog_changes(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(package, entry_name, state) where a stored catalog's entries aren't those that the packages give: missing, stale or changed."""
+    shared = [c for c in expected.columns if c in actual.columns and c not in ("package", "entry_name", "package_pos", "plugin_pos")]
+    e, a = (df.select("package", "entry_name", F.to_json(F.struct(*shared)).alias(x)) for df, x in ((expected, "e"), (actual, "a")))
+    state = F.when(F.col("a").isNull(), "missing").when(F.col("e").isNull(), "stale").when(F.col("e") != F.col("a"), "changed")
+    return e.join(a, ["package", "entry_name"], "full_outer").select("package", "entry_name", state.alias("state")).where("state is not null")
+
+
 def release_comparison(packages: DataFrame, entries: DataFrame) -> DataFrame:
     """(package, error) where the catalog's entries don't agree with packages to be released.
 

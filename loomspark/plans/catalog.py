@@ -556,7 +556,7 @@ def _evaluation_prompt(spark, d):
     return found.select("doc_id", F.md5(evaluation_prompt().cast("binary")).alias("prompt_md5"))
 
 
-@query("gen_stub_pipeline")
+@query("gen_stub_pipeline", "SELECT source || '/' || doc_id || '.txt' AS source_id, 7 AS pairs, 7 AS kept, 7 AS evaluated FROM documents WHERE trim(text, E' \\t\\n\\r') <> ''")
 def _generated(spark, d):
     from loomspark.plans.config import PipelineConfig
     from loomspark.plans.generate import StubClient, question_columns, run_columns

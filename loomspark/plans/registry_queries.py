@@ -221,6 +221,14 @@ def _release_comparison(spark, d):
     return registry.release_comparison(own.union(fresh), _entries(spark, d))
 
 
+@query("cat02_catalog_changes", "SELECT 'pkg-' || p_partkey AS package, 'e' || p_size AS entry_name, CASE p_partkey % 10 WHEN 0 THEN 'missing' WHEN 1 THEN 'stale' ELSE 'changed' END AS state FROM part WHERE p_partkey % 10 < 3")
+def _catalog_changes(spark, d):
+    entries = _entries(spark, d)
+    number = F.col("package_pos") % 10
+    actual = entries.where(number != 0).withColumn("description", F.when(number == 2, F.lit(None)).otherwise(F.col("description")))
+    return registry.catalog_changes(entries.where(number != 1), actual)
+
+
 @query("rel02_release_errors", """SELECT 'p' || p_partkey AS package, unnest(CASE p_partkey % 13 WHEN 0 THEN ['name differs from the folder''s', 'release ref differs from the template''s'] WHEN 1 THEN ['version differs from the tag''s', 'release ref differs from the template''s'] WHEN 2 THEN ['tag version is malformed', 'version is malformed']
   WHEN 3 THEN ['no description'] WHEN 4 THEN ['no license'] WHEN 5 THEN ['no readme'] WHEN 6 THEN ['no authors'] WHEN 7 THEN ['requires-python is malformed'] WHEN 8 THEN ['no dependency on the host'] WHEN 9 THEN ['dependency on the host has no version'] WHEN 10 THEN ['no entry points'] WHEN 11 THEN ['no owner who can release'] ELSE [] END) AS error FROM part""")
 def _release_errors(spark, d):

@@ -4,6 +4,7 @@ CHUNK = "struct<text:string,start:int,end:int,sentence_count:int,word_count:int,
 SEED_DOCUMENTS = f"file_name array<string>, source_id string, text string, chunks array<{CHUNK}>, sections_structured array<string>, bundle_id string, bundle_members array<string>, is_multi_doc boolean"
 
 ARTIFACT_ITEM = "struct<text:string,description:string,importance:string>"
+# The kinds of artifacts, in the order of their fields.
 ARTIFACT_KINDS = ("key_concepts", "relationships", "themes", "entities", "processes", "insights", "technical_terms", "contextual_factors")
 DOCUMENT_ARTIFACTS = "struct<" + ",".join(f"{k}:array<{ARTIFACT_ITEM}>" for k in ARTIFACT_KINDS) + ">"
 
@@ -26,5 +27,6 @@ CATALOG = (
 )
 PACKAGE_LIST = "filename string, hash string, requires_python string"
 
+# Kinds of questions and of reasoning.
 QUERY_TYPES = ("multi_hop", "structural", "contextual")
 REASONING_TYPES = ("factual", "relational", "inferential", "temporal", "procedural", "visual", "causal")

@@ -242,3 +242,36 @@ def test_version_order_in_places(spark):
     ship(spark)
     rows = spark.createDataFrame([(f"p-{v}-py3-none-any.whl",) for v in ("1.10", "1.9", "1.9rc1", "1.9.post1")], "filename string")
     assert [r["filename"].split("-")[1] for r in registry.placed_package_list(rows).orderBy("place").collect()] == ["1.9rc1", "1.9", "1.9.post1", "1.10"]
+
+
+def test_corpus_splits_and_archives(spark, tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    (tmp_path / "corpus.jsonl").write_text('{"_id": "a", "text": "t"}\n{"_id": "b", "text": "u", "group_id": "g"}\n')
+    assert [(r["_id"], r["group_id"]) for r in records.load_corpus(spark, str(tmp_path / "corpus.jsonl")).orderBy("line_ord").collect()] == [("a", None), ("b", "g")]
+    (tmp_path / "splits.json").write_text(json.dumps({"text": ["q1", "q2"], "image": ["q2"]}))
+    assert [tuple(r) for r in records.load_splits(spark, str(tmp_path / "splits.json")).orderBy("load_ord", "query_id").collect()] == [("q1", "text", 0), ("q2", "text", 0), ("q2", "image", 1)]
+    dist = tmp_path / "dist"
+    dist.mkdir()
+    with zipfile.ZipFile(dist / "a-1.0-py3-none-any.whl", "w") as z:
+        z.writestr("a-1.0.dist-info/METADATA", "Name: a\nRequires-Python: >=3.10\n\nbody\nRequires-Python: no\n")
+    with tarfile.open(dist / "a-1.0.tar.gz", "w:gz") as t:
+        info = tarfile.TarInfo("a-1.0/PKG-INFO")
+        data = b"Name: a\n\n"
+        info.size = len(data)
+        t.addfile(info, io.BytesIO(data))
+    rows = {r["filename"]: r for r in records.distributions(spark, str(dist)).collect()}
+    assert rows["a-1.0-py3-none-any.whl"]["requires_python"] == ">=3.10" and rows["a-1.0.tar.gz"]["requires_python"] is None
+    assert registry.package_list_errors(records.distributions(spark, str(dist))).count() == 0
+
+
+def test_processors_run_after_columns(spark):
+    from loomspark.plans.generate import TextTransform, run_columns
+
+    df = spark.createDataFrame([("ab",)], "x string")
+    seen = run_columns(df, [TextTransform("y", "x"), TextTransform("z", "y", "lower", drop=True)], processors=[lambda t: t.withColumn("n", F.length("y"))])
+    assert seen.columns == ["x", "y", "n"] and seen.first()["y"] == "AB"
+    with pytest.raises(ValueError):
+        run_columns(df, [TextTransform("y", "none")])
