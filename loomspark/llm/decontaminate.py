@@ -20,18 +20,20 @@ def words_of(text: Column) -> Column:
     return F.slice(parts, first, F.greatest(last - first + 1, F.lit(0)))
 
 
-def _windows(k: int, of) -> Column:
-    """An array with of(words, i) for each k-word window of column words, i being its 0-based start."""
-    n = F.size("words") - k + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: of(F.col("words"), i)))
+def _grams(rows: DataFrame, k: int) -> DataFrame:
+    """rows with w, an array column's k-word windows, a row for each, as structs of the words.
 
-
-def _hash_at(k: int):
-    return lambda w, i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])
+    The words' array is zipped with itself moved on by one word, by two and so
+    on, which stays within generated code, as lambdas don't. As an outer
+    generator it isn't evaluated once more to filter out rows without windows.
+    """
+    moved = [F.slice("words", F.lit(j + 1), F.greatest(F.size("words") - j, F.lit(0))) for j in range(k)]
+    fields = F.arrays_zip(*[m.alias(f"w{j}") for j, m in enumerate(moved)])
+    return rows.withColumn("w", F.explode_outer(fields)).where(F.col("w")[f"w{k - 1}"].isNotNull())
 
 
-def _string_at(k: int):
-    return lambda w, i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(k)])
+def _words(k: int) -> list[Column]:
+    return [F.col("w")[f"w{j}"] for j in range(k)]
 
 
 def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -54,10 +56,13 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
     items = items.select(F.col(item_id).cast("long").alias("item"), words_of(F.col(text_col)).alias("words")).where("item is not null and size(words) > 0")
     items = items.withColumn("k", F.least(F.size("words"), F.lit(k)))
     sizes = sorted(r[0] for r in items.select("k").distinct().collect())  # at most k values
-    strings = items.withColumn("s", F.lit(None).cast("array<string>"))
+    strings = None
     for n in sizes:
-        strings = strings.withColumn("s", F.when(F.col("k") == n, _windows(n, _string_at(n))).otherwise(F.col("s")))
-    strings = strings.select("item", "k", F.explode("s").alias("s")).distinct()
+        some = _grams(items.where(F.col("k") == n), n).select("item", "k", F.concat_ws(" ", *_words(n)).alias("s"))
+        strings = some if strings is None else strings.union(some)
+    if strings is None:
+        return docs.sparkSession.createDataFrame([], f"{doc_id} long, {item_id} long, n_item long, n_shared long, containment double")
+    strings = strings.distinct()
     counts = strings.groupBy("item").agg(F.count("*").alias("n"))
     items_full = materialize(strings.join(counts, "item"), "items")
     # The hash of a shingle's string would differ from that of its words: samples hash the words again.
@@ -73,22 +78,22 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
     sampled = sampled.select("item", "k", F.ceil(F.col("low") * percent / 100).cast("long").alias("least_windows"), (F.col("taken") - (F.col("n") - least)).alias("need"), F.explode(F.slice("h", F.lit(1), F.col("taken").cast("int"))).alias("h"))
     sampled = small_enough(materialize(sampled, "samples"), BROADCAST_ROWS)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), words_of(F.col(text_col)).alias("words")).where("doc is not null")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
+    rows = texts.select("doc", words_of(F.col("text")).alias("words"))
     hits = None
     for n in sizes:
-        found = rows.select("doc", F.size("words").alias("size"), F.explode(_windows(n, _hash_at(n))).alias("h"))
+        found = _grams(rows, n).select("doc", F.size("words").alias("size"), F.xxhash64(*_words(n)).alias("h"))
         own = sampled.where(F.col("k") == n)
         found = found.join(small_enough(own, BROADCAST_ROWS), "h").where(F.col("size") - n + 1 >= F.col("least_windows")).select("doc", "item", "need", "h")
         hits = found if hits is None else hits.union(found)
-    if hits is None:
-        return docs.sparkSession.createDataFrame([], f"{doc_id} long, {item_id} long, n_item long, n_shared long, containment double")
     candidates = hits.distinct().groupBy("doc", "item", "need").agg(F.count("*").alias("got")).where("got >= need").select("doc", "item")
     candidates = materialize(candidates, "candidates")
     named = small_enough(candidates.select("doc").distinct(), BROADCAST_ROWS)
-    again = materialize(rows.join(named, "doc", "left_semi"), "suspects")
+    suspects = materialize(texts.join(named, "doc", "left_semi"), "suspects")
+    again = suspects.select("doc", words_of(F.col("text")).alias("words"))
     pieces = None
     for n in sizes:
-        part = again.select("doc", F.lit(n).alias("k"), F.explode(F.array_distinct(_windows(n, _string_at(n)))).alias("s"))
+        part = _grams(again, n).select("doc", F.lit(n).alias("k"), F.concat_ws(" ", *_words(n)).alias("s"))
         pieces = part if pieces is None else pieces.union(part)
     shared = pieces.join(small_enough(items_full, BROADCAST_ROWS), ["k", "s"]).select("doc", "item", "n", "s").distinct()
     shared = shared.groupBy("doc", "item", "n").agg(F.count("*").alias("shared"))
