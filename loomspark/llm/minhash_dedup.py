@@ -242,9 +242,11 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
             for more in links[1:]:
                 found = found.union(more)
             labels = materialize(connected_components(found), "labels")
-    groups = classes.select("hi", "lo", "id", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = groups.groupBy("component").agg(F.min("id").alias("smallest"))
-    named = groups.join(least, "component").select("hi", "lo", "component", "smallest")
+    groups = classes.select("hi", "lo", "id", "node").join(labels, "node", "left")
+    linked = groups.where("component is not null")
+    least = materialize(linked.groupBy("component").agg(F.min("id").alias("smallest")), "least")
+    linked = linked.join(small_enough(least, BROADCAST_IDS), "component").select("hi", "lo", "component", "smallest")
+    named = linked.union(groups.where("component is null").select("hi", "lo", F.col("node").alias("component"), F.col("id").alias("smallest")))
     empty = (F.col("n") == 0) | F.col("id").isNull()
     return everything.select("id", "t", "n", F.when(~empty, F.col("hi")).alias("hi"), F.when(~empty, F.col("lo")).alias("lo")).join(named, ["hi", "lo"], "left").drop("hi", "lo")
 
@@ -289,6 +291,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """
     judged = materialize(_judged(docs, id_col, text_col, k, percent).where("component is not null"), "judged")
     sizes = judged.groupBy("component").agg(F.count("*").alias("m"), F.min(F.struct("id", "t")).alias("first")).where("m > 1").drop("m")
+    sizes = small_enough(materialize(sizes, "sizes"), BROADCAST_IDS)  # one group may hold most rows
     members = materialize(judged.join(sizes, "component").select("id", "t", (F.struct("id", "t") == F.col("first")).alias("first")), "members")
     own, restored = by_place(docs)
     key, text = (F.col(own.columns[docs.columns.index(c)]) for c in (id_col, text_col))
