@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import materialize, new_path
+from loomspark.llm.common import materialize, new_path, small_enough
 from loomspark.shipping import map_arrow
 
 #: Bytes of a split; bytes read at once; compressed bytes looked at to tell whether a member starts here; compressed bytes decoded at once; gzip level.
 SPLIT, CHUNK, PROBE, STEP, LEVEL = 8 << 20, 1 << 20, 1 << 12, 1 << 16, 2
+#: Digests of several records that are broadcast at most.
+BROADCAST = 1_000_000
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -77,13 +79,15 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     smallest id are responses and the others revisits of it; a payload of which
     all ids are null has responses only. Each task writes one file under a name
     of its own attempt, and only files in the returned table count, so failed
-    and repeated attempts leave nothing that is read.
+    and repeated attempts leave nothing that is read. Only digests that occur
+    twice are joined with the rows, and payloads aren't shuffled unless more
+    than BROADCAST digests do.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
-    firsts = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("id").alias("first"))
-    firsts = materialize(firsts.withColumnRenamed("sha", "first_sha"), "digests")
-    rows = rows.join(firsts, rows["sha"] == firsts["first_sha"], "left")
+    firsts = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("m")).where("m > 1")
+    firsts = materialize(firsts.select(F.col("sha").alias("first_sha"), "first"), "digests")
+    rows = rows.join(small_enough(firsts, BROADCAST), rows["sha"] == firsts["first_sha"], "left")
     rows = rows.select("id", "url", "payload", F.unhex("sha").alias("sha"), F.when(~F.col("first").eqNullSafe(F.col("id")), F.col("first")).alias("refers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
