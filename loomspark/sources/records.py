@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,8 +122,6 @@ def distributions(spark: SparkSession, folder: str) -> DataFrame:
     import tarfile
     import zipfile
 
-    import pandas as pd
-
     @F.pandas_udf("string")
     def requires(content: pd.Series, name: pd.Series) -> pd.Series:
         def one(data, file):
