@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,39 +64,75 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
 
 
+def _packed(words: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted words and their counts, each word less the one before, first all lowest bytes, then all second ones and so on, as they compress well so."""
+    both = np.concatenate([np.diff(words, prepend=np.uint64(0)), counts.astype(np.uint64)])
+    return both.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.uint64)
+    n = len(both) // 2
+    return np.cumsum(both[:n], dtype=np.uint64), both[n:].astype(np.int64)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct words and the sums of their counts."""
+    words, place = wh.distinct(np.concatenate([np.zeros(0, dtype=np.uint64), *[w for w, _ in parts]]))
+    counts = np.concatenate([np.zeros(0, dtype=np.int64), *[m for _, m in parts]])
+    return words, np.bincount(place, weights=counts, minlength=len(words)).astype(np.int64)
+
+
 def lines_and_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Two kinds of rows from one pass over the texts: (doc, pos, c, d, n), each line with words, its class c, d (lines of equal word sets) and the size of its word set; and (h, m), a word's hash and a number of lines it is in, to be summed."""
+    """Two kinds of rows from one pass over the texts: (doc, pos, c, d), each line with words and its class c, d (lines of equal word sets); and (part, words), packed hashes of one of several ranges with numbers of lines they are in, for word_counts."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        words, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged():
-            more = np.concatenate([words, *[w for w, _ in held]])
-            found, place = np.unique(more, return_inverse=True)
-            return found, np.bincount(place, weights=np.concatenate([counts, *[m for _, m in held]]), minlength=len(found)).astype(np.int64)
+        starts = np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
 
         def rows(n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-            types = {"doc": pa.int64(), "pos": pa.int32(), "c": pa.int64(), "d": pa.int64(), "n": pa.int32(), "h": pa.int64(), "m": pa.int64()}
+            types = {"doc": pa.int64(), "pos": pa.int32(), "c": pa.int64(), "d": pa.int64(), "part": pa.int32(), "words": pa.binary()}
             return pa.RecordBatch.from_arrays([columns[x] if x in columns else pa.nulls(n, t) for x, t in types.items()], names=list(types))
 
+        def ranges(words: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            ends = [0, *np.searchsorted(words, starts).tolist(), len(words)]
+            for i in range(parts):
+                a, b = ends[i], ends[i + 1]
+                if b > a:
+                    yield rows(1, {"part": pa.array([i], pa.int32()), "words": pa.array([_packed(words[a:b], counts[a:b])], pa.binary())})
+
         for batch in batches:
             for piece in pieces(batch, "text", PIECE):
                 text, number, found, items, bounds = _line_words(piece.column("text"))
                 held.append((found, np.bincount(items, minlength=len(found))))
                 c, d = _class_of(found, items, bounds)
-                yield rows(len(text), {"doc": piece.column("doc").take(pa.array(text)), "pos": pa.array(number.astype(np.int32)), "c": pa.array(c), "d": pa.array(d), "n": pa.array(np.diff(bounds).astype(np.int32))})
-                if sum(len(w) for w, _ in held) > _MERGE:
-                    words, counts = merged()
-                    held = []
-                    if len(words) > _MERGE:
-                        yield rows(len(words), {"h": pa.array(words.view(np.int64)), "m": pa.array(counts)})
-                        words, counts = words[:0], counts[:0]
-        words, counts = merged()
-        yield rows(len(words), {"h": pa.array(words.view(np.int64)), "m": pa.array(counts)})
+                yield rows(len(text), {"doc": piece.column("doc").take(pa.array(text)), "pos": pa.array(number.astype(np.int32)), "c": pa.array(c), "d": pa.array(d)})
+                if sum(len(w) for w, _ in held[1:]) > _MERGE:
+                    held = [_summed(held)]
+                    if len(held[0][0]) > _MERGE:
+                        yield from ranges(*held.pop())
+        yield from ranges(*_summed(held))
+
+    return map_arrow(_rows(docs, id_col, text_col), run, "doc long, pos int, c long, d long, part int, words binary")
 
-    return map_arrow(_rows(docs, id_col, text_col), run, "doc long, pos int, c long, d long, n int, h long, m long")
+
+def word_counts(read: DataFrame) -> DataFrame:
+    """(h, m), the hashes of words that several lines have, and the numbers of these lines, from the rows of lines_and_words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("words"), strict=True):
+                held.setdefault(part, []).append(_unpacked(data.as_buffer()))
+        while held:
+            words, counts = _summed(held.popitem()[1])
+            more = counts > 1
+            yield pa.RecordBatch.from_arrays([pa.array(words[more].view(np.int64)), pa.array(counts[more])], names=["h", "m"])
+
+    parts = int(read.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return map_arrow(read.where("part is not null").select("part", "words").repartition(parts, "part"), run, "h long, m long")
 
 
 def rarity(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,7 +159,7 @@ def rarity(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray, np.ndarray], id_col: str, text_col: str, percent: int) -> DataFrame:
-    """(c, doc, pos, n, bits, skip, often, words) of lines, each class once a piece at least: the words of its prefix that other lines have too, rarest first.
+    """(c, d, doc, pos, n, bits, skip, often, words) of lines, each class once a piece at least: the words of its prefix that other lines have too, rarest first.
 
     skip counts the words before them, which are in this line alone; often
     counts those at their end that are, or may be, in more than HOT lines; bits
@@ -172,11 +208,11 @@ def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray, np.ndarray],
                 some = np.flatnonzero(kept)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept[some])]).astype(np.int32)), pa.array(words[items[early]].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[some]), piece.column("doc").take(pa.array(text[some])), pa.array(number[some].astype(np.int32)), pa.array(n[some].astype(np.int32)), pa.array(bits[some].view(np.int64)), pa.array(skip[some]), pa.array(often[some]), lists],
-                    names=["c", "doc", "pos", "n", "bits", "skip", "often", "words"],
+                    [pa.array(c[some]), pa.array(d[some]), piece.column("doc").take(pa.array(text[some])), pa.array(number[some].astype(np.int32)), pa.array(n[some].astype(np.int32)), pa.array(bits[some].view(np.int64)), pa.array(skip[some]), pa.array(often[some]), lists],
+                    names=["c", "d", "doc", "pos", "n", "bits", "skip", "often", "words"],
                 )
 
-    return map_arrow(_rows(docs, id_col, text_col), run, "c long, doc long, pos int, n int, bits long, skip int, often int, words array<long>")
+    return map_arrow(_rows(docs, id_col, text_col), run, "c long, d long, doc long, pos int, n int, bits long, skip int, often int, words array<long>")
 
 
 def _wide(words: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -189,22 +225,40 @@ def _wide(words: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * (WIDE_BITS // 64)).astype(np.int32)), pa.array(maps.ravel()))
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, repeated: bool, id_col: str, text_col: str, percent: int) -> DataFrame:
+def _some_lines(texts: pa.Array, owner: np.ndarray, number: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The lines of these numbers of the texts at owner, and which of the numbers these are; a text may lack a line that is asked for."""
+    data, offsets = wh.string_buffer(texts)
+    breaks = np.flatnonzero(data == 10)
+    before, after = np.searchsorted(breaks, offsets[:-1]), np.searchsorted(breaks, offsets[1:])
+    which = np.flatnonzero(number <= (after - before)[owner])
+    owner, number = owner[which], number[which]
+    bounds = np.concatenate([[-1], breaks, [len(data)]])
+    at = before[owner] + number
+    starts, ends = np.maximum(bounds[at] + 1, offsets[owner]), np.minimum(bounds[at + 1], offsets[owner + 1])
+    held = data.tobytes()
+    return pa.array([held[a:b] for a, b in zip(starts.tolist(), ends.tolist())], pa.large_string()), which
+
+
+def _confirm(pairs: DataFrame, places: Callable[[DataFrame], DataFrame], docs: DataFrame, repeated: bool, id_col: str, text_col: str, percent: int) -> DataFrame:
     """The pairs (early, late) whose word sets are as similar as percent, the sets being read again from the texts."""
     wanted = pairs.select(F.col("early").alias("o")).union(pairs.select(F.col("late").alias("o"))).distinct()
-    wanted = classes.join(wanted, "o", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("pos", "o", "c", "d")).alias("at"))  # of one document
+    wanted = places(wanted)
+    key = [c for c in ("pos", "c", "d") if c in wanted.columns]
+    wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("o", *key)).alias("at"))  # of one document
     wanted = small_enough(materialize(wanted, "wanted"), BROADCAST_IDS, F.size("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
             for piece in pieces(batch, "text", PIECE):
-                text, number, words, items, bounds = _line_words(piece.column("text"))
-                asked = piece.column("at")
-                owner = np.repeat(np.arange(len(asked)), pa.compute.list_value_length(asked).to_numpy(zero_copy_only=False))
-                flat = asked.flatten()
-                place = dict(zip(zip(owner.tolist(), *[flat.field(x).to_pylist() for x in ("pos", "c", "d")]), flat.field("o").to_pylist()))
-                found = [(i, place[k]) for i, k in enumerate(zip(text.tolist(), number.tolist(), *[x.tolist() for x in _class_of(words, items, bounds)])) if k in place]
+                asked, flat = piece.column("at"), piece.column("at").flatten()
+                lines, which = _some_lines(piece.column("text"), pa.compute.list_parent_indices(asked).to_numpy(), flat.field("pos").to_numpy())
+                at, _, words, items, bounds = _line_words(lines)
+                which = which[at]
+                ids, right = flat.field("o").to_numpy()[which], np.ones(len(which), dtype=bool)
+                for name, half in zip(key[1:], _class_of(words, items, bounds)):
+                    right &= flat.field(name).to_numpy()[which] == half
+                found = [(i, ids[i]) for i in np.flatnonzero(right)]
                 sets = [words[items[bounds[i] : bounds[i + 1]]] for i, _ in found]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
                 flat = np.concatenate([words[:0], *sets])
@@ -221,22 +275,29 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, repeated: bo
     both = F.col("early_n") + F.col("late_n")
     close = pairs.join(early, "early").join(late, "late").where(far <= both - 2 * _least_shared(both, percent, 100 + percent))
     close = materialize(close.select("early", "late", both.cast("long").alias("s")), "close")
-    early, late = (sets.select(F.col("o").alias(x), F.col("items").alias(f"{x}_items")) for x in ("early", "late"))
+
+    def items(x: str) -> DataFrame:  # of sets that are still in question
+        asked = small_enough(close.select(F.col(x).alias("o")).distinct(), BROADCAST_IDS)
+        return sets.join(asked, "o", "left_semi").select(F.col("o").alias(x), F.col("items").alias(f"{x}_items"))
+
     shared = F.size(F.array_intersect("early_items", "late_items")).cast("long")
-    joined = close.join(early, "early").join(late, "late").select("early", "late", shared.alias("i"), "s")
+    joined = close.join(items("early"), "early").join(items("late"), "late").select("early", "late", shared.alias("i"), "s")
     out = materialize(joined.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("s") - F.col("i"))).select("early", "late"), "links")
     discard(docs.sparkSession, sets, wanted, close)
     return out
 
 
-def _entries(sets: DataFrame, found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _entries(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """The entries (w, o, bits, at) that the smaller and the larger set of a pair meet by.
 
     o holds the set's place, times two, plus one if found has it as late; at
-    holds n in its upper and the word's position in its lower half.
+    holds n in its upper half, and in its lower one the word's position, times
+    four, plus one if the entry stands for the smaller set of a pair, plus two
+    if it stands for the larger one.
 
     The smaller of two similar sets has a shared word in a prefix about half as
-    long as the other's, so one side is short. Two sets that are both found to
+    long as the other's. Most entries of that prefix stand for both, so that
+    one exchange serves either side. Two sets that are both found to
     go need not meet: for words that many lines have, w tells them apart (its
     last two bits, after 48 of the word's hash: 2 to meet sets that stay, 1 to meet those that go), so that
     a group of near copies doesn't meet pair by pair. A smaller set that stays
@@ -246,19 +307,37 @@ def _entries(sets: DataFrame, found: DataFrame, percent: int) -> tuple[DataFrame
     marked = sets.join(gone, "o", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
     size = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1 - F.col("skip")
     size = F.greatest(F.least(size, F.size("words")), F.lit(0)).cast("int")
-    marked = marked.withColumn("first", F.size("words") - F.col("often"))  # of the words that many lines have
-
-    def spread(df: DataFrame, words: Column, i: Column, tag: Column) -> DataFrame:
-        rows = df.select("*", F.posexplode(words).alias("p", "w")).withColumn("i", i)
-        tagged = F.shiftleft(F.shiftrightunsigned("w", 16), 2).bitwiseOR(F.when(F.col("i") >= F.col("first"), tag).otherwise(0).cast("long"))
-        return rows.select(tagged.alias("w"), (F.col("o") * 2 + F.col("gone")).alias("o"), "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("i") + F.col("skip")).cast("long")).alias("at"))
-
-    short = marked.withColumn("short", size).where("short > 0")
-    again = F.when((F.col("gone") == 0) & (F.col("short") > F.col("first")), F.slice("words", F.col("first") + 1, F.col("short") - F.col("first"))).otherwise(F.slice("words", 1, 0))
-    second = F.col("p") >= F.col("short")
-    smaller = spread(short, F.concat(F.slice("words", F.lit(1), F.col("short")), again), F.when(second, F.col("p") - F.col("short") + F.col("first")).otherwise(F.col("p")), F.when(second, 1).otherwise(2))
-    larger = spread(marked, F.col("words"), F.col("p"), F.when(F.col("gone") == 1, 1).otherwise(2))
-    return smaller, larger
+    first = F.size("words") - F.col("often")  # of the words that many lines have
+    marked = marked.withColumn("short", size).withColumn("first", first)
+    again = F.when(F.col("short") > F.col("first"), F.slice("words", F.col("first") + 1, F.col("short") - F.col("first"))).otherwise(F.slice("words", 1, 0))
+    rows = marked.select("o", "bits", "n", "skip", "gone", "short", "first", F.size("words").alias("long"), F.posexplode(F.concat("words", again)).alias("p", "w"))
+    second = F.col("p") >= F.col("long")
+    i = F.when(second, F.col("p") - F.col("long") + F.col("first")).otherwise(F.col("p"))
+    hot = i >= F.col("first")
+    kind = F.when(~hot, 0).when(second == (F.col("gone") == 1), 2).otherwise(1)
+    role = F.when(second, 1).when((F.col("p") < F.col("short")) & ~(hot & (F.col("gone") == 1)), 3).otherwise(2)
+    place = F.shiftleft((i + F.col("skip")).cast("long"), 2).bitwiseOR(role.cast("long"))
+    w = F.shiftleft(F.shiftrightunsigned("w", 16), 2).bitwiseOR(kind.cast("long"))
+    return rows.select(w.alias("w"), (F.col("o") * 2 + F.col("gone")).alias("o"), "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(place).alias("at"))
+
+
+def _met(entries: DataFrame, percent: int) -> DataFrame:
+    """The pairs (early, late) of sets whose entries meet and that may be as similar as percent."""
+    short, long = (entries.select(*[F.col(c).alias(f"{x}_{c}") for c in entries.columns]) for x in ("a", "b"))
+    later = F.greatest("a_o", "b_o")
+    a_n, b_n = F.shiftright("a_at", 32), F.shiftright("b_at", 32)
+    a_i, b_i = (F.shiftright(F.col(c).bitwiseAND((1 << 32) - 1), 2) for c in ("a_at", "b_at"))
+    far = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
+    both, least = a_n + b_n, 100 + percent  # sets of n and m words share at least percent * (n + m) / least
+    fits = (
+        (F.col("a_w") == F.col("b_w"))
+        & (F.col("a_at").bitwiseAND(F.lit(1)) + F.col("b_at").bitwiseAND(F.lit(2)) == 3)  # in one, as a filter of one side would keep the sides from sharing an exchange
+        & (F.lit(least) * F.least(a_n - a_i, b_n - b_i) >= F.lit(percent) * both)  # at the first word they share, all shared ones are still to come; the length filter follows from this
+        & (a_n <= b_n) & (F.lit(least) * (both - far) >= F.lit(2 * percent) * both)
+        & ((a_n < b_n) | (F.col("a_o") < F.col("b_o"))) & (later.bitwiseAND(F.lit(1)) == 0)
+    )
+    early = F.shiftright(F.least("a_o", "b_o"), 1)
+    return short.join(long, fits).select(early.alias("early"), F.shiftright(later, 1).alias("late")).where("early < late").distinct()
 
 
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -283,24 +362,56 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     read = materialize(lines_and_words(docs, id_col, text_col), "lines")
-    counts = materialize(read.where("h is not null").groupBy("h").agg(F.sum("m").alias("m")), "words")
+    counts = materialize(word_counts(read), "words")
     known = rarity(counts)
-    lines = materialize(read.where("doc is not null").select("doc", "pos", "c", "d"), "lines")
-    discard(spark, counts, read)
-    firsts = lines.groupBy("c", "d").agg(F.min(F.struct("doc", "pos")).alias("f")).select("c", "d", "f.doc", "f.pos")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = firsts.repartitionByRange(parts, "doc", "pos").sortWithinPartitions("doc", "pos")
-    classes = materialize(ordered.withColumn("o", F.monotonically_increasing_id()), "classes")  # o orders classes by their first lines
-    sets = prefixes(docs, known, id_col, text_col, percent).join(classes.drop("d"), ["c", "doc", "pos"]).drop("c", "doc", "pos")
+    lines = read.where("doc is not null").select("doc", "pos", "c", "d")
+    discard(spark, counts)
     repeated = not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
+    least, most, last = lines.agg(F.min("doc"), F.max("doc"), F.max("pos")).first()
+    shift = (last or 0).bit_length()
+    made = prefixes(docs, known, id_col, text_col, percent)
+    # o orders classes by their first lines: of these, o holds id and number where both fit, else the rank
+    if not repeated and (least or 0) >= 0 and (most or 0).bit_length() + shift <= 62:
+        line = F.shiftleft("doc", shift).bitwiseOR(F.col("pos").cast("long"))
+        firsts = lines.groupBy("c", "d").agg(F.min(line).alias("o"), F.count("*").alias("m"))
+        several = materialize(firsts.where("m > 1").select("c", "d", "o"), "several")
+        copies = lines.select("c", "d", line.alias("line")).join(small_enough(several, BROADCAST_IDS), ["c", "d"]).where("line <> o").select(F.col("line").alias("o"))
+        made = made.withColumn("line", line)
+        if several.count() <= BROADCAST_IDS:
+            made = made.join(F.broadcast(several), ["c", "d"], "left").where("o is null or o = line").drop("o").withColumnRenamed("line", "o")
+        else:
+            made = made.withColumnRenamed("line", "o").join(firsts.select("c", "o"), ["c", "o"], "left_semi")
+
+        def places(ids: DataFrame) -> DataFrame:
+            return ids.select("o", F.shiftright("o", shift).alias("doc"), F.col("o").bitwiseAND((1 << shift) - 1).cast("int").alias("pos"))
+
+        copies = places(copies)
+    else:
+        firsts = lines.groupBy("c", "d").agg(F.min(F.struct("doc", "pos")).alias("f")).select("c", "d", "f.doc", "f.pos")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ordered = firsts.repartitionByRange(parts, "doc", "pos").sortWithinPartitions("doc", "pos")
+        classes = materialize(ordered.withColumn("o", F.monotonically_increasing_id()), "classes")
+        own = classes.select("c", "d", F.col("doc").alias("first_doc"), F.col("pos").alias("first_pos"))
+        copies = lines.join(own, ["c", "d"]).where("doc <> first_doc or pos <> first_pos")
+        made = made.drop("d").join(classes.drop("d"), ["c", "doc", "pos"])
+
+        def places(ids: DataFrame) -> DataFrame:
+            return classes.join(ids, "o", "left_semi")
+
+    copies = materialize(copies.select("doc", "pos"), "copies")  # they go in any case, their classes' first lines if these match
+    sets = made.select("o", "n", "bits", "skip", "often", "words")
     sets = materialize(sets.dropDuplicates(["o"]) if repeated else sets, "prefixes")
-    discard(spark)
+    discard(spark, read)
 
     def side(x: str, df: DataFrame) -> DataFrame:
         return df.select(F.col("w").alias(f"{x}_w"), *[F.col(c).alias(f"{x}_{c}") for c in ("o", "n", "bits", "i")])
 
-    entries = sets.select("o", "n", "bits", "skip", (F.size("words") - F.col("often")).alias("first"), F.posexplode("words").alias("i", "w"))
-    often = entries.where("i >= first").select("w", "o", "n", "bits", (F.col("i") + F.col("skip")).alias("i"))
+
+    def frequent(some: DataFrame) -> DataFrame:
+        entries = some.select("o", "n", "bits", "skip", (F.size("words") - F.col("often")).alias("first"), F.posexplode("words").alias("i", "w"))
+        return entries.where("i >= first").select("w", "o", "n", "bits", (F.col("i") + F.col("skip")).alias("i"))
+
+    often = frequent(sets)
     least = _least_shared(F.col("a_n") + F.col("b_n"), percent, 100 + percent)
     far = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
     fits = (
@@ -310,32 +421,19 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         & (far <= F.col("a_n") + F.col("b_n") - 2 * least)
     )
     hot = often.groupBy("w").agg(F.count("*").alias("m"), F.min("o").alias("o")).where(F.col("m") > HOT).select("w", "o")
-    leaders = materialize(often.join(small_enough(materialize(hot, "hot"), BROADCAST_IDS), ["w", "o"]), "leaders")
+    hot = materialize(hot, "hot")
+    leading = sets.join(small_enough(hot.select("o").distinct(), BROADCAST_IDS), "o", "left_semi")
+    leaders = materialize(frequent(leading).join(small_enough(hot, BROADCAST_IDS), ["w", "o"]), "leaders")
     met = side("b", often).join(small_enough(side("a", leaders), BROADCAST_IDS), fits)
     near = met.groupBy(F.col("b_o").alias("late")).agg(F.min_by("a_o", F.struct(far, F.col("a_o"))).alias("early"))
-    found = _confirm(materialize(near, "met"), classes, docs, repeated, id_col, text_col, percent)
-    short, long = _entries(sets, found, percent)
-    short, long = (df.select(*[F.col(c).alias(f"{x}_{c}") for c in df.columns]) for x, df in (("a", short), ("b", long)))
-    later = F.greatest("a_o", "b_o")
-    a_n, b_n = F.shiftright("a_at", 32), F.shiftright("b_at", 32)
-    a_i, b_i = (F.col(c).bitwiseAND((1 << 32) - 1) for c in ("a_at", "b_at"))
-    both, least = a_n + b_n, 100 + percent  # sets of n and m words share at least percent * (n + m) / least
-    fits = (
-        (F.col("a_w") == F.col("b_w")) & (F.lit(least) * F.least(a_n - a_i, b_n - b_i) >= F.lit(percent) * both)  # at the first word they share, all shared ones are still to come; the length filter follows from this
-        & (a_n <= b_n) & (F.lit(least) * (both - far) >= F.lit(2 * percent) * both)
-        & ((a_n < b_n) | (F.col("a_o") < F.col("b_o"))) & (later.bitwiseAND(F.lit(1)) == 0)
-    )
-    early = F.shiftright(F.least("a_o", "b_o"), 1)
-    pairs = short.join(long, fits).select(early.alias("early"), F.shiftright(later, 1).alias("late")).where("early < late").distinct()
-    pairs = materialize(pairs, "pairs")
+    found = _confirm(materialize(near, "met"), places, docs, repeated, id_col, text_col, percent)
+    pairs = materialize(_met(_entries(sets, found, percent), percent), "pairs")
     discard(spark, sets, leaders)
-    more = _confirm(pairs, classes, docs, repeated, id_col, text_col, percent)
-    matched = found.union(more).select(F.col("late").alias("o")).distinct().withColumn("matched", F.lit(True))
-    verdicts = classes.join(matched, "o", "left").select("c", "d", F.col("doc").alias("first_doc"), F.col("pos").alias("first_pos"), F.coalesce("matched", F.lit(False)).alias("matched"))
-    first = (F.col("doc") == F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))
-    removed = lines.join(verdicts, ["c", "d"]).where(F.col("matched") | ~first).groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("removed_lines"))  # of one document
-    breaks = F.coalesce(F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    out = docs.select(F.col(id_col), F.col(text_col).alias("t")).select(id_col, breaks.alias("n_lines")).join(removed, F.col(id_col) == F.col("doc"), "left")
+    more = _confirm(pairs, places, docs, repeated, id_col, text_col, percent)
+    matched = places(found.union(more).select(F.col("late").alias("o")).distinct()).select("doc", "pos")
+    removed = matched.union(copies).groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("removed_lines"))  # of one document
+    breaks = F.coalesce(F.octet_length("t") - F.octet_length(F.replace("t", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    out = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("t")).select(id_col, breaks.alias("n_lines")).join(removed, F.col(id_col) == F.col("doc"), "left")
     removed_lines = F.coalesce("removed_lines", F.array().cast("array<int>"))
     return out.select(id_col, "n_lines", F.size(removed_lines).cast("long").alias("n_removed"), removed_lines.alias("removed_lines"))
 

@@ -18,8 +18,6 @@ SPACE_CLASS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 PUNCT_CLASS = np.ones(256, dtype=bool)
 PUNCT_CLASS[0x30:0x3A] = PUNCT_CLASS[0x41:0x5B] = PUNCT_CLASS[0x61:0x7B] = PUNCT_CLASS[0x80:] = False
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
 #: The lowest 0 to 8 bytes of a 64-bit value; words of more bytes than _LONG are hashed one by one.
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 _LONG = 256
@@ -45,7 +43,7 @@ def string_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and for each text the index of its first word (n + 1 values)."""
-    breaks = np.flatnonzero(separators[data])
+    breaks = np.flatnonzero(np.frombuffer(data.tobytes().translate(separators.tobytes()), dtype=bool))
     # Texts and separators cut the bytes into segments in order, so sorted beginnings and sorted ends pair up.
     starts = np.sort(np.concatenate([breaks + 1, offsets[:-1]]), kind="stable")
     ends = np.sort(np.concatenate([breaks, offsets[1:]]), kind="stable")
@@ -76,7 +74,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     low = np.zeros(len(data) + 8, dtype=np.uint8)
-    np.take(_LOWER, data, out=low[: len(data)])
+    low[: len(data)] = data + (((data - np.uint8(0x41)) < 26).view(np.uint8) << 5)  # much faster than np.take
     eights = np.ndarray(len(data) + 1, dtype="<u8", buffer=low, strides=(1,))  # eight bytes from each place on
     sizes = ends - starts
     out = mix64(sizes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + (eights[starts] & _MASKS[np.minimum(sizes, 8)]))

@@ -464,6 +464,40 @@ def test_line_dedup_of_repeated_and_null_ids(spark):
     assert len(texts) == len(rows) and "same line here" in texts and long in texts and "\nend" in texts
 
 
+@pytest.mark.parametrize(("step", "start", "ids"), [(1, 0, 1_000_000), (1, 0, 0), (3 << 55, -(1 << 62), 1_000_000)])
+def test_line_dedup_by_place_and_by_rank(spark, monkeypatch, step, start, ids):
+    """Ids that fit beside a line's number, with and without broadcasts, and ids that don't fit, some of them negative."""
+    monkeypatch.setattr(linededup, "BROADCAST_IDS", ids)
+    monkeypatch.setattr(linededup, "HOT", 3)
+    lines = [prose(i, 12, 300) for i in range(12)]
+    r = random.Random(4)
+    texts = ["\n".join(edited(r.choice(lines), r.randrange(3), 100 * i + j) for j in range(4)) for i in range(40)]
+    seen, want = [], {}
+    for i, t in enumerate(texts):
+        want[start + i * step] = []
+        for p, line in enumerate(t.split("\n")):
+            w = set(line.lower().split())
+            if any(100 * len(w & v) >= 80 * len(w | v) for v in seen):
+                want[start + i * step].append(p)
+            seen.append(w)
+    df = spark.createDataFrame([(start + i * step, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {x["doc_id"]: x["removed_lines"] for x in linededup.later_matches(df).collect()} == want
+
+
+def test_line_dedup_moves_entries_once(spark):
+    """Smaller and larger sets of a pair meet by one exchange of entries, not by two."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets = spark.createDataFrame([(i, 10, 0, 0, i % 3, [j + i % 5 for j in range(3)]) for i in range(50)], "o long, n int, bits long, skip int, often int, words array<long>")
+        found = spark.createDataFrame([(0, 7)], "early long, late long")
+        met = linededup._met(linededup._entries(sets, found, 80), 80)
+        assert met.count() > 0
+        met.collect()
+        assert "ReusedExchange" in met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 # --- tiff --------------------------------------------------------------------------------------
 
 
