@@ -35,10 +35,13 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage ends there, and a lost executor loses nothing."""
+def materialize(df: DataFrame, tag: str, hashes: tuple[str, ...] = ()) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: lineage ends there, and a lost executor loses nothing.
+
+    hashes are Parquet columns of values that seldom repeat, for which no dictionary is tried.
+    """
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in hashes}).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._loomspark_path = path
     return out

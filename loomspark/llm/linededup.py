@@ -19,8 +19,14 @@ KNOWN_WORDS, MAP_BITS = 1 << 20, 22
 WIDE_BITS = 512
 #: Words of more than so many lines' prefixes first meet their earliest line alone.
 HOT = 64
+#: Words of more than so many sets' prefixes are met by a join, which Spark can split; entries of a range of other words, about.
+HEAVY, RANGE = 1 << 16, 1 << 17
 BROADCAST_IDS = 1_000_000
 _MERGE = 1 << 21
+#: Entries that are packed, and pairs that are looked at, at a time.
+_PACK, _PAIRS = 1 << 19, 1 << 18
+#: First bits of a word's hash that an index of the known words goes by.
+_TOP = 20
 #: Bytes of text at a time where nothing is merged across pieces; their arrays stay in the cache.
 PIECE = 1 << 19
 
@@ -64,19 +70,27 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
 
 
-def _packed(words: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted words and their counts, each word less the one before, first all lowest bytes, then all second ones and so on, as they compress well so."""
-    both = np.concatenate([np.diff(words, prepend=np.uint64(0)), counts.astype(np.uint64)])
-    return both.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def _planes(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit values, first all lowest bytes, then all second ones and so on, as they compress well so."""
+    return np.concatenate([c.astype("<u8") for c in columns]).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.uint64)
-    n = len(both) // 2
-    return np.cumsum(both[:n], dtype=np.uint64), both[n:].astype(np.int64)
+def _columns(data: bytes, n: int) -> np.ndarray:
+    """The n columns of _planes."""
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<u8").astype(np.uint64).reshape(n, -1)
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def _packed(words: np.ndarray, *more: np.ndarray) -> bytes:
+    """Sorted words and what goes with them, each word less the one before."""
+    return _planes(np.diff(words, prepend=np.uint64(0)), *more)
+
+
+def _unpacked(data: bytes, n: int = 2) -> list[np.ndarray]:
+    words, *more = _columns(data, n)
+    return [np.cumsum(words, dtype=np.uint64), *[x.view(np.int64) for x in more]]
+
+
+def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct words and the sums of their counts."""
     words, place = wh.distinct(np.concatenate([np.zeros(0, dtype=np.uint64), *[w for w, _ in parts]]))
     counts = np.concatenate([np.zeros(0, dtype=np.int64), *[m for _, m in parts]])
@@ -84,12 +98,13 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def lines_and_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Two kinds of rows from one pass over the texts: (doc, pos, c, d), each line with words and its class c, d (lines of equal word sets); and (part, words), packed hashes of one of several ranges with numbers of lines they are in, for word_counts."""
+    """Two kinds of rows from one pass over the texts: (doc, pos, c, d), each line with words and its class c, d (lines of equal word sets); and (part, words), packed hashes of one of several ranges with numbers of lines they are in, for word_counts; those rows' c, d and pos are the least and the largest id and the largest line number that the task had read."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        least, most, last = [], [], []
         starts = np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
 
         def rows(n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -98,15 +113,19 @@ def lines_and_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         def ranges(words: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             ends = [0, *np.searchsorted(words, starts).tolist(), len(words)]
+            bounds = {k: pa.array([v], t) for k, v, t in (("c", min(least, default=0), pa.int64()), ("d", max(most, default=0), pa.int64()), ("pos", max(last, default=0), pa.int32()))}
             for i in range(parts):
                 a, b = ends[i], ends[i + 1]
                 if b > a:
-                    yield rows(1, {"part": pa.array([i], pa.int32()), "words": pa.array([_packed(words[a:b], counts[a:b])], pa.binary())})
+                    yield rows(1, bounds | {"part": pa.array([i], pa.int32()), "words": pa.array([_packed(words[a:b], counts[a:b])], pa.binary())})
 
         for batch in batches:
             for piece in pieces(batch, "text", PIECE):
                 text, number, found, items, bounds = _line_words(piece.column("text"))
                 held.append((found, np.bincount(items, minlength=len(found))))
+                if len(text):
+                    ids = np.asarray(piece.column("doc"))
+                    least, most, last = [min([*least, int(ids.min())])], [max([*most, int(ids.max())])], [max([*last, int(number.max())])]
                 c, d = _class_of(found, items, bounds)
                 yield rows(len(text), {"doc": piece.column("doc").take(pa.array(text)), "pos": pa.array(number.astype(np.int32)), "c": pa.array(c), "d": pa.array(d)})
                 if sum(len(w) for w, _ in held[1:]) > _MERGE:
@@ -122,7 +141,7 @@ def word_counts(read: DataFrame) -> DataFrame:
     """(h, m), the hashes of words that several lines have, and the numbers of these lines, from the rows of lines_and_words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[list[np.ndarray]]] = {}
         for batch in batches:
             for part, data in zip(batch.column("part").to_pylist(), batch.column("words"), strict=True):
                 held.setdefault(part, []).append(_unpacked(data.as_buffer()))
@@ -158,6 +177,30 @@ def rarity(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes[order], many[order], np.packbits(places)
 
 
+def _places(known: np.ndarray, index: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The place in known (sorted) of each of these words that is there; index has the first place for each value of a hash's upper bits."""
+    at = np.minimum(index[(words >> np.uint64(64 - _TOP)).astype(np.int64)], len(known) - 1)
+    below = np.flatnonzero(known[at] < words)
+    while len(below):
+        at[below] += 1
+        below = below[at[below] < len(known)]
+        below = below[known[at[below]] < words[below]]
+    return np.minimum(at, len(known) - 1)
+
+
+def _sorted_order(x: np.ndarray) -> np.ndarray:
+    """A stable argsort of values from 0 on."""
+    bits = len(x).bit_length()
+    if len(x) and int(x.max()) >> (63 - bits):
+        return np.argsort(x, kind="stable")
+    return np.sort(x << bits | np.arange(len(x))) & ((1 << bits) - 1)  # much faster than an argsort
+
+
+def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sums of x from each of these places up to the next, none being empty."""
+    return np.add.reduceat(x, first, dtype=np.int32) if len(first) else np.zeros(0, dtype=np.int32)
+
+
 def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray, np.ndarray], id_col: str, text_col: str, percent: int) -> DataFrame:
     """(c, d, doc, pos, n, bits, skip, often, words) of lines, each class once a piece at least: the words of its prefix that other lines have too, rarest first.
 
@@ -172,6 +215,7 @@ def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray, np.ndarray],
         np.seterr(over="ignore")
         frequent, counts, packed = held.value
         places = np.unpackbits(packed).astype(bool)
+        index = np.searchsorted(frequent, np.arange(1 << _TOP, dtype=np.uint64) << np.uint64(64 - _TOP))
         untold = len(counts) > 0 and counts.min() > HOT  # words that are not known may then be in many lines
         for batch in batches:
             for piece in pieces(batch, "text", PIECE):
@@ -184,31 +228,30 @@ def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray, np.ndarray],
                 bits = np.bitwise_xor.reduceat(parity[items], bounds[:-1])
                 rank = places[(words & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)].astype(np.int64)
                 if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
+                    at = _places(frequent, index, words)
                     rank = np.where(frequent[at] == words, counts[at] + 1, rank)
-                by_rank = np.argsort(rank, kind="stable")  # and by hash, as words are sorted
+                by_rank = _sorted_order(rank)  # and by hash, as words are sorted
                 turn = np.empty_like(by_rank)
                 turn[by_rank] = np.arange(len(by_rank))
-                line = np.repeat(np.arange(len(n)), n)
-                items = by_rank[np.sort(line * len(words) + turn[items]) - line * len(words)]
-                rank = rank[items]
+                line = np.repeat(np.arange(len(n)) * len(words), n)
+                turns = np.sort(line + turn[items])
                 ids = np.asarray(piece.column("doc"))[text]
                 by_class = np.lexsort((number, ids, d, c))
                 once = by_class[np.append(True, (c[by_class][1:] != c[by_class][:-1]) | (d[by_class][1:] != d[by_class][:-1]))]
-                length = n - -(-percent * n // 100) + 1
-                place = np.arange(len(items)) - np.repeat(bounds[:-1], n)
-                wanted = np.zeros(len(n), dtype=bool)
-                wanted[once] = True
-                wanted &= n * (100 - percent) >= percent  # a set of n words can match one of n + 1
-                early = np.repeat(wanted, n) & (place < np.repeat(length, n))
-                skip = np.bincount(line, weights=early & (rank == 0), minlength=len(n)).astype(np.int32)
-                early &= rank > 0
-                often = np.bincount(line, weights=early & ((rank > HOT + 1) | untold), minlength=len(n)).astype(np.int32)
-                kept = np.bincount(line, weights=early, minlength=len(n)).astype(np.int64)
+                wanted = np.sort(once[n[once] * (100 - percent) >= percent])  # a set of n words can match one of n + 1
+                length = n[wanted] - -(-percent * n[wanted] // 100) + 1
+                first = np.cumsum(length) - length
+                early = np.arange(length.sum()) + np.repeat(bounds[wanted] - first, length)
+                items = by_rank[turns[early] - line[early]]
+                rank = rank[items]
+                skip = _sums(rank == 0, first)
+                often = _sums((rank > HOT + 1) | (untold & (rank > 0)), first)
+                kept = length - skip
                 some = np.flatnonzero(kept)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept[some])]).astype(np.int32)), pa.array(words[items[early]].view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept[some])]).astype(np.int32)), pa.array(words[items[rank > 0]].view(np.int64)))
+                skip, often, some = skip[some], often[some], wanted[some]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[some]), pa.array(d[some]), piece.column("doc").take(pa.array(text[some])), pa.array(number[some].astype(np.int32)), pa.array(n[some].astype(np.int32)), pa.array(bits[some].view(np.int64)), pa.array(skip[some]), pa.array(often[some]), lists],
+                    [pa.array(c[some]), pa.array(d[some]), piece.column("doc").take(pa.array(text[some])), pa.array(number[some].astype(np.int32)), pa.array(n[some].astype(np.int32)), pa.array(bits[some].view(np.int64)), pa.array(skip), pa.array(often), lists],
                     names=["c", "d", "doc", "pos", "n", "bits", "skip", "often", "words"],
                 )
 
@@ -269,7 +312,7 @@ def _confirm(pairs: DataFrame, places: Callable[[DataFrame], DataFrame], docs: D
 
     rows = _rows(docs, id_col, text_col).join(wanted, "doc")
     sets = map_arrow(rows, run, "o long, n int, wide array<long>, items array<long>")
-    sets = materialize(sets.dropDuplicates(["o"]) if repeated else sets, "sets")
+    sets = materialize(sets.dropDuplicates(["o"]) if repeated else sets, "sets", ("o", "wide.list.element", "items.list.element"))
     early, late = (sets.select(F.col("o").alias(x), F.col("n").alias(f"{x}_n"), F.col("wide").alias(f"{x}_wide")) for x in ("early", "late"))
     far = sum((F.bit_count(F.col("early_wide").getItem(i).bitwiseXOR(F.col("late_wide").getItem(i))) for i in range(WIDE_BITS // 64)), F.lit(0))
     both = F.col("early_n") + F.col("late_n")
@@ -287,6 +330,12 @@ def _confirm(pairs: DataFrame, places: Callable[[DataFrame], DataFrame], docs: D
     return out
 
 
+def _marked(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """sets with gone, 1 if found has it as late, else 0."""
+    gone = small_enough(found.select(F.col("late").alias("o")).distinct().withColumn("gone", F.lit(1)), BROADCAST_IDS)
+    return sets.join(gone, "o", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
+
+
 def _entries(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """The entries (w, o, bits, at) that the smaller and the larger set of a pair meet by.
 
@@ -303,8 +352,7 @@ def _entries(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     a group of near copies doesn't meet pair by pair. A smaller set that stays
     meets both kinds and has two such entries for a word.
     """
-    gone = small_enough(found.select(F.col("late").alias("o")).distinct().withColumn("gone", F.lit(1)), BROADCAST_IDS)
-    marked = sets.join(gone, "o", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
+    marked = _marked(sets, found)
     size = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1 - F.col("skip")
     size = F.greatest(F.least(size, F.size("words")), F.lit(0)).cast("int")
     first = F.size("words") - F.col("often")  # of the words that many lines have
@@ -340,6 +388,121 @@ def _met(entries: DataFrame, percent: int) -> DataFrame:
     return short.join(long, fits).select(early.alias("early"), F.shiftright(later, 1).alias("late")).where("early < late").distinct()
 
 
+def _packed_entries(sets: DataFrame, found: DataFrame, heavy: np.ndarray, ranges: int, percent: int) -> DataFrame:
+    """(part, entries), the entries of _entries packed by ranges of w, without those of the heavy words (sorted hashes)."""
+    left_out = sets.sparkSession.sparkContext.broadcast(heavy)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = np.array([(i << 50) // ranges for i in range(1, ranges)], dtype=np.uint64)
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def packed() -> pa.RecordBatch:
+            w, *more = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            by = np.argsort(w)
+            w, more = w[by], [x[by] for x in more]
+            ends = [0, *np.searchsorted(w, starts).tolist(), len(w)]
+            some = [i for i in range(ranges) if ends[i + 1] > ends[i]]
+            data = [_packed(*[x[ends[i] : ends[i + 1]] for x in (w, *more)]) for i in some]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(data, pa.binary())], names=["part", "entries"])
+
+        for batch in batches:
+            o, bits, n, skip, often, gone = (batch.column(c).to_numpy().astype(np.int64) for c in ("o", "bits", "n", "skip", "often", "gone"))
+            words = batch.column("words").flatten().to_numpy().view(np.uint64)
+            long = np.asarray(batch.column("words").value_lengths()).astype(np.int64)
+            row = np.repeat(np.arange(len(o)), long)
+            i = np.arange(len(words)) - np.repeat(np.cumsum(long) - long, long)
+            hot, stays = i >= (long - often)[row], gone[row] == 0
+            early = i < (n - -(-n * 2 * percent // (100 + percent)) + 1 - skip)[row]
+            if len(left_out.value):
+                some = ~(hot & np.isin(words, left_out.value))
+                words, row, i, hot, stays, early = (x[some] for x in (words, row, i, hot, stays, early))
+            kind = np.where(hot, np.where(stays, 2, 1), 0)
+            role = np.where(early & (stays | ~hot), 3, 2)
+            again = np.flatnonzero(hot & early)
+            kind, role = np.append(kind, np.where(stays[again], 1, 2)), np.append(role, np.ones(len(again), dtype=np.int64))
+            words, row, i = (np.append(x, x[again]) for x in (words, row, i))
+            w = (words >> np.uint64(16) << np.uint64(2)) | kind.astype(np.uint64)
+            held.append((w, (o * 2 + gone)[row], bits[row], (n[row] << 32) | ((i + skip[row]) << 2) | role))
+            if sum(len(x[0]) for x in held) >= _PACK:
+                yield packed()
+        if held:
+            yield packed()
+
+    marked = _marked(sets, found).select("o", "bits", "n", "skip", "often", "gone", "words")
+    return map_arrow(marked, run, "part int, entries binary")
+
+
+def _near_sizes(w: np.ndarray, o: np.ndarray, bits: np.ndarray, at: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of _met among these entries, some more than once; only sets of near sizes are looked at."""
+    by = np.lexsort((at >> 32, w))
+    w, o, bits, at = w[by], o[by], bits[by], at[by]
+    n, role = at >> 32, at & 3
+    rest = n - ((at & ((1 << 32) - 1)) >> 2)  # words from the entry's on
+    word = np.cumsum(np.append(False, w[1:] != w[:-1])[: len(w)]).astype(np.int64) << 32
+    small, large = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+    key = (word | n)[large]
+    first = np.searchsorted(key, (word | n)[small])
+    most = np.minimum(n[small] * 100 // max(percent, 1), (1 << 32) - 1)
+    many = np.searchsorted(key, word[small] | most, side="right") - first
+    ends, start = np.cumsum(many), 0
+    while start < len(small):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _PAIRS, side="right")))
+        m = many[start:stop]
+        a = np.repeat(small[start:stop], m)
+        b = large[np.arange(len(a)) + np.repeat(first[start:stop] - np.cumsum(m) + m, m)]
+        start = stop
+        both = n[a] + n[b]
+        near = (100 + percent) * np.minimum(rest[a], rest[b]) >= percent * both  # at the first word they share, all shared ones are still to come
+        a, b, both = a[near], b[near], both[near]
+        near = (100 + percent) * (both - np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64))) >= 2 * percent * both
+        a, b = a[near], b[near]
+        a_o, b_o = o[a], o[b]
+        early, later = np.minimum(a_o, b_o) >> 1, np.maximum(a_o, b_o)
+        right = ((n[a] < n[b]) | (a_o < b_o)) & (later & 1 == 0) & (early < later >> 1)
+        yield early[right], later[right] >> 1
+
+
+def _met_in_ranges(packed: DataFrame, parts: int, percent: int) -> DataFrame:
+    """The pairs (early, late) of _met, from _packed_entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.Buffer]] = {}
+        for batch in batches:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("entries"), strict=True):
+                held.setdefault(part, []).append(data.as_buffer())
+        while held:
+            entries = [np.concatenate(x) for x in zip(*[_unpacked(data, 4) for data in held.popitem()[1]])]
+            for early, late in _near_sizes(*entries, percent):
+                by = np.lexsort((late, early))
+                early, late = early[by], late[by]
+                new = np.append(True, (early[1:] != early[:-1]) | (late[1:] != late[:-1]))[: len(early)]
+                yield pa.RecordBatch.from_arrays([pa.array(early[new]), pa.array(late[new])], names=["early", "late"])
+
+    return map_arrow(packed.repartition(parts, "part"), run, "early long, late long").distinct()
+
+
+def _all_met(sets: DataFrame, found: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+    """The pairs (early, late) of sets that meet by a word; hot has the words w in m prefixes that many lines have.
+
+    Entries go to tasks by ranges of words, of which there are enough for a
+    task's memory, and a task looks only at pairs of near sizes. Words of more
+    than HEAVY prefixes are met by a join instead.
+    """
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = hot.where(F.col("m") > HEAVY).select("w")  # no more than one for HEAVY entries
+    hashes = np.sort(heavy.toArrow()["w"].to_numpy().view(np.uint64))
+    entries = sets.agg(F.sum(F.size("words"))).first()[0] or 0
+    parts = max(parts, entries // (4 * RANGE))
+    out = _met_in_ranges(_packed_entries(sets, found, hashes, 4 * parts, percent), parts, percent)
+    if not len(hashes):
+        return out
+    rows = _entries(sets, found, percent)
+    some = F.broadcast(heavy.select(F.shiftrightunsigned("w", 16).alias("u")).distinct())
+    rows = rows.join(some, F.shiftrightunsigned("w", 2) == F.col("u"), "left_semi").where(F.col("w").bitwiseAND(F.lit(3)) > 0)
+    return out.union(_met(rows, percent)).distinct()
+
+
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """One row per document: (id_col, n_lines, n_removed, removed_lines), the latter the numbers, from 0, of lines to remove.
 
@@ -361,13 +524,13 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     to be compared in full.
     """
     spark = docs.sparkSession
-    read = materialize(lines_and_words(docs, id_col, text_col), "lines")
+    read = materialize(lines_and_words(docs, id_col, text_col), "lines", ("c", "d", "words"))
     counts = materialize(word_counts(read), "words")
     known = rarity(counts)
     lines = read.where("doc is not null").select("doc", "pos", "c", "d")
     discard(spark, counts)
     repeated = not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
-    least, most, last = lines.agg(F.min("doc"), F.max("doc"), F.max("pos")).first()
+    least, most, last = read.where("part is not null").agg(F.min("c"), F.max("d"), F.max("pos")).first()
     shift = (last or 0).bit_length()
     made = prefixes(docs, known, id_col, text_col, percent)
     # o orders classes by their first lines: of these, o holds id and number where both fit, else the rank
@@ -400,7 +563,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     copies = materialize(copies.select("doc", "pos"), "copies")  # they go in any case, their classes' first lines if these match
     sets = made.select("o", "n", "bits", "skip", "often", "words")
-    sets = materialize(sets.dropDuplicates(["o"]) if repeated else sets, "prefixes")
+    sets = materialize(sets.dropDuplicates(["o"]) if repeated else sets, "prefixes", ("o", "bits", "words.list.element"))
     discard(spark, read)
 
     def side(x: str, df: DataFrame) -> DataFrame:
@@ -420,14 +583,15 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         & (F.least(F.col("a_i"), F.col("b_i")) + F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= least)
         & (far <= F.col("a_n") + F.col("b_n") - 2 * least)
     )
-    hot = often.groupBy("w").agg(F.count("*").alias("m"), F.min("o").alias("o")).where(F.col("m") > HOT).select("w", "o")
+    hot = often.groupBy("w").agg(F.count("*").alias("m"), F.min("o").alias("o")).where(F.col("m") > HOT)
     hot = materialize(hot, "hot")
-    leading = sets.join(small_enough(hot.select("o").distinct(), BROADCAST_IDS), "o", "left_semi")
-    leaders = materialize(frequent(leading).join(small_enough(hot, BROADCAST_IDS), ["w", "o"]), "leaders")
+    first = hot.select("w", "o")
+    leading = sets.join(small_enough(first.select("o").distinct(), BROADCAST_IDS), "o", "left_semi")
+    leaders = materialize(frequent(leading).join(small_enough(first, BROADCAST_IDS), ["w", "o"]), "leaders")
     met = side("b", often).join(small_enough(side("a", leaders), BROADCAST_IDS), fits)
     near = met.groupBy(F.col("b_o").alias("late")).agg(F.min_by("a_o", F.struct(far, F.col("a_o"))).alias("early"))
     found = _confirm(materialize(near, "met"), places, docs, repeated, id_col, text_col, percent)
-    pairs = materialize(_met(_entries(sets, found, percent), percent), "pairs")
+    pairs = materialize(_all_met(sets, found, hot, percent), "pairs")
     discard(spark, sets, leaders)
     more = _confirm(pairs, places, docs, repeated, id_col, text_col, percent)
     matched = places(found.union(more).select(F.col("late").alias("o")).distinct()).select("doc", "pos")

@@ -498,6 +498,62 @@ def test_line_dedup_moves_entries_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_line_dedup_looks_at_near_sizes_only(monkeypatch):
+    """Of the sets that a word brings together, only those of near sizes are paired."""
+    monkeypatch.setattr(linededup, "_PAIRS", 1000)
+    sizes = np.repeat([10, 14, 19, 26, 36, 50, 70, 97, 135, 188], 100)
+    o = np.arange(len(sizes))
+    at = (sizes << 32) | 3  # each set's first word, for the smaller and for the larger set of a pair
+    steps = list(linededup._near_sizes(np.full(len(o), 4, dtype=np.uint64), o * 2, np.zeros(len(o), dtype=np.int64), at, 80))
+    got = {(a, b) for early, late in steps for a, b in zip(early.tolist(), late.tolist())}
+    assert got == {(a, b) for a in range(1000) for b in range(a + 1, 1000) if a // 100 == b // 100}
+    assert len(steps) <= 110  # of 1,000 pairs each; all pairs with the word are 1,000,000
+
+
+@pytest.mark.parametrize(("percent", "heavy"), [(80, 1 << 16), (80, 70), (60, 70)])
+def test_line_dedup_met_in_ranges(spark, monkeypatch, percent, heavy):
+    """Sets meet in ranges of words, and those of heavy words by a join, as they do by a join of all entries."""
+    r = np.random.default_rng(percent)
+    words = r.integers(-(1 << 63), 1 << 63, 60)
+    rows, many = [], {}
+    for o in range(400):
+        n = int(r.integers(4, 60))
+        some = r.choice(60, int(r.integers(1, 9)), replace=False)
+        some = sorted(some.tolist(), reverse=True)  # low ones are in many lines
+        if o % 3 == 0:
+            some = [x for x in some if x > 3] + [1, 0]
+        often = sum(x < 4 for x in some)
+        for x in some[len(some) - often :]:
+            many[x] = many.get(x, 0) + 1
+        rows.append((o * 5, n, int(r.integers(-(1 << 63), 1 << 63)) & int(r.integers(0, 256)) - 128, int(r.integers(0, 3)), often, [int(words[x]) for x in some]))
+    sets = spark.createDataFrame(rows, "o long, n int, bits long, skip int, often int, words array<long>")
+    found = spark.createDataFrame([(0, int(o) * 5) for o in r.choice(np.arange(1, 400), 120, replace=False)], "early long, late long")
+    hot = spark.createDataFrame([(int(words[x]), m, 0) for x, m in many.items() if m > 64], "w long, m long, o long")
+    monkeypatch.setattr(linededup, "HEAVY", heavy)
+    assert (hot.where(f"m > {heavy}").count() > 0) == (heavy < 400)
+    want = {tuple(x) for x in linededup._met(linededup._entries(sets, found, percent), percent).collect()}
+    got = [tuple(x) for x in linededup._all_met(sets, found, hot, percent).collect()]
+    assert set(got) == want and len(got) == len(want) > 100
+
+
+def test_line_dedup_places_and_orders():
+    r = np.random.default_rng(5)
+    known = np.unique(np.concatenate([r.integers(0, 1 << 64, 500, dtype=np.uint64), np.arange(40, dtype=np.uint64), np.array([(1 << 64) - 1], dtype=np.uint64)]))
+    index = np.searchsorted(known, np.arange(1 << linededup._TOP, dtype=np.uint64) << np.uint64(64 - linededup._TOP))
+    asked = np.concatenate([known, known + np.uint64(1), known - np.uint64(1), r.integers(0, 1 << 64, 500, dtype=np.uint64)])
+    assert (linededup._places(known, index, asked) == np.minimum(np.searchsorted(known, asked), len(known) - 1)).all()
+    for x in (r.integers(0, 9, 1000), r.integers(0, 1 << 60, 1000), np.zeros(0, dtype=np.int64)):
+        assert (linededup._sorted_order(x) == np.argsort(x, kind="stable")).all()
+
+
+def test_line_dedup_bounds_of_ids_and_lines(spark):
+    """The rows of words tell the ids and line numbers that a task has read."""
+    read = linededup.lines_and_words(docs(spark, ["a b", None, "x\n\ny z\n", "", " \n "]), "doc_id", "text")
+    lines = read.where("doc is not null").selectExpr("min(doc)", "max(doc)", "max(pos)").first()
+    least, most, last = read.where("part is not null").selectExpr("min(c)", "max(d)", "max(pos)").first()
+    assert tuple(lines) == (0, 2, 2) and least == 0 and most >= 2 and last == 2
+
+
 # --- tiff --------------------------------------------------------------------------------------
 
 
